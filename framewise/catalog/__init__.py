@@ -1,5 +1,5 @@
 """All registered queries by name."""
 
-from framewise.catalog import ranking, rates
+from framewise.catalog import prep, ranking, rates, reports
 
-ALL = {**ranking.QUERIES, **rates.QUERIES}
+ALL = {**ranking.QUERIES, **rates.QUERIES, **prep.QUERIES, **reports.QUERIES}

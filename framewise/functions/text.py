@@ -29,7 +29,7 @@ def list_length(value: Column, sep: str = ",") -> Column:
 def split_capped(value: Column, max_items: int, sep: str = ",") -> Column:
     """Delimited string as an array of at most ``max_items`` trimmed entries."""
     pieces = F.slice(F.split(value, re.escape(sep)), 1, max_items)
-    return F.transform(pieces, F.trim)
+    return F.transform(pieces, lambda x: F.trim(x))
 
 
 def p_text(p: Column) -> Column:
