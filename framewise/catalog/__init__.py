@@ -1,5 +1,11 @@
 """All registered queries by name."""
 
-from framewise.catalog import prep, ranking, rates, reports
+from framewise.catalog import models, prep, ranking, rates, reports
 
-ALL = {**ranking.QUERIES, **rates.QUERIES, **prep.QUERIES, **reports.QUERIES}
+ALL = {
+    **ranking.QUERIES,
+    **rates.QUERIES,
+    **prep.QUERIES,
+    **reports.QUERIES,
+    **models.QUERIES,
+}

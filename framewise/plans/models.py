@@ -6,14 +6,18 @@ summary rows only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewise.domain import Domain
 from framewise.functions.tails import f_p, t_p, z_p
 from framewise.functions.text import p_text
 from framewise.operators.ordered import holm, running_total
+from framewise.plans import rates
 
 NORMAL_975 = 1.959963984540054
 
@@ -379,3 +383,28 @@ def prediction_grid(df: DataFrame, sites: tuple[str, str], family: str, means: t
     if not means:
         return grid
     return grid.join(df.groupBy(family).agg(*[F.avg(m).alias(m) for m in means]), family)
+
+
+# ---------------------------------------------------------------- model inputs
+
+
+def category_model_rows(frame: DataFrame, domain: Domain) -> DataFrame:
+    """The model frame once per category, with that category's 0/1 ``target`` column."""
+    rows = frame.select("site", "subject", "category", "n_items")
+    rows = rows.select(*rows.columns, domain.explode_categories().alias("model"))
+    return rows.withColumn("target", (F.col("category") == F.col("model")).cast("double"))
+
+
+def age_model_rows(view: DataFrame) -> DataFrame:
+    """The four hourly measures stacked as ``model, site, subject, age, y``."""
+    measures = {
+        "items_per_hour": rates.per_hour(view, "item"),
+        "categories_per_hour": rates.per_hour(view, "category"),
+        "item_transitions": rates.transition_rate(view, "item"),
+        "category_transitions": rates.transition_rate(view, "category"),
+    }
+    stacked = [
+        m.select(F.lit(name).alias("model"), "site", "subject", "age", F.col("y").cast("double").alias("y"))
+        for name, m in measures.items()
+    ]
+    return reduce(DataFrame.unionByName, stacked)
