@@ -1,8 +1,9 @@
 """All registered queries by name."""
 
-from framewise.catalog import models, prep, ranking, rates, reports
+from framewise.catalog import basics, models, prep, ranking, rates, reports
 
 ALL = {
+    **basics.QUERIES,
     **ranking.QUERIES,
     **rates.QUERIES,
     **prep.QUERIES,

@@ -9,21 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARTICIPANTS = T.StructType.fromDDL(
-    "subject LONG, site STRING, age INT, sex STRING, n INT, wearer INT"
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def schema(**fields: str) -> T.StructType:
+    """Declared columns as ``name="long" | "int" | "double" | "string"``."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in fields.items()])
+
+
+# Column layouts of the working files, bound by position.
+PARTICIPANTS = schema(
+    subject="long", site="string", age="int", sex="string", n="int", wearer="int"
+)
+HOURS = schema(subject="long", hour="int")
+TIMESTAMPS = schema(subject="long", frame="string", ts="string")
+LABELS = schema(
+    item="string", new_item="string", check_again="int", viewed_image="int", from_second="int"
+)
+CATEGORIES = schema(item="string", category="string")
+IMMOVABLE = schema(
+    subject="long", frame="string", new_item="string", new_reason="string", category="string"
 )
-HOURS = T.StructType.fromDDL("subject LONG, hour INT")
-TIMESTAMPS = T.StructType.fromDDL("subject LONG, frame STRING, ts STRING")
-LABELS = T.StructType.fromDDL(
-    "item STRING, new_item STRING, check_again INT, viewed_image INT, from_second INT"
+NO_ITEMS = schema(
+    frame="string", item="string", comments="string", none="int", exclude="int",
+    original_comments="string", subject="long",
 )
-CATEGORIES = T.StructType.fromDDL("item STRING, category STRING")
-CORRECTIONS = T.StructType.fromDDL(
-    "frame STRING, new_item STRING, new_reason STRING, new_category STRING, comments STRING, "
-    "from_second INT, subject LONG"
+CORRECTIONS = schema(
+    frame="string", new_item="string", new_reason="string", new_category="string",
+    comments="string", from_second="int", subject="long",
 )
-AGREEMENT = T.StructType.fromDDL(
-    "site STRING, subject LONG, n_frames LONG, category_agreement DOUBLE, item_agreement DOUBLE"
+AGREEMENT = schema(
+    site="string", subject="long", n_frames="long", category_agreement="double",
+    item_agreement="double",
 )
 
 
