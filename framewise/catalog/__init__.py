@@ -3,10 +3,10 @@
 from framewise.catalog import basics, models, prep, ranking, rates, reports
 
 ALL = {
-    **basics.QUERIES,
     **ranking.QUERIES,
     **rates.QUERIES,
     **prep.QUERIES,
     **reports.QUERIES,
     **models.QUERIES,
+    **basics.QUERIES,
 }

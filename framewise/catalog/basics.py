@@ -237,7 +237,7 @@ ON l.segment IS NOT DISTINCT FROM r.segment""",
             .groupBy(F.col("c_nationkey").alias("n_nationkey"))
             .agg(F.avg("c_acctbal").alias("balance")),
         ),
-        """SELECT CAST(coalesce(n.n_nationkey, c.k) AS BIGINT) AS n_nationkey, n_name, round(balance, 9) AS balance
+        """SELECT CAST(coalesce(n.n_nationkey, c.k) AS BIGINT) AS n_nationkey, n_name, round(balance, 6) AS balance
 FROM (SELECT * FROM nation WHERE n_nationkey > 3) n
 FULL JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS balance FROM customer WHERE c_nationkey < 20 GROUP BY 1) c ON n_nationkey = k""",
         6,
@@ -320,7 +320,8 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
     "running_total": query(
         _running,
         """SELECT o_orderpriority, day, n, CAST(coalesce(sum(n) OVER (
-  PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+  CAST(sum(n) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total
 FROM (SELECT o_orderpriority, date_diff('day', DATE '1990-01-01', o_orderdate) AS day, count(*) AS n FROM orders GROUP BY ALL)""",
     ),
     "intersect_items": query(

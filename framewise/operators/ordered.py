@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.operators.joins import null_safe_join
+
 
 def rank_rows(
     df: DataFrame, group: list[str], order: list[Column], top: int | None = None, out: str = "rank"
@@ -68,21 +70,27 @@ def neighbours(
 def running_total(
     df: DataFrame, family: list[str], value: str, amount: str, width: float
 ) -> DataFrame:
-    """Add ``before``: the sum of ``amount`` over smaller values within the family.
+    """Add ``before``, the sum of ``amount`` over smaller values of the family, and
+    ``total``, the sum over the whole family.
 
     Input has one row per (family, value).  Values are cut into slices of ``width``;
-    slice totals are summed per family, and each slice adds its own running sum.
+    slice totals are summed per family, and each slice adds its own running sum.  The
+    null-safe join keeps both branches equal below the shuffle, so it is done once.
     """
     rows = df.withColumn("_slice", F.floor(F.col(value) / width))
-    totals = rows.groupBy(*family, "_slice").agg(F.sum(amount).alias("_t"))
-    earlier = Window.partitionBy(*family).orderBy("_slice")
-    totals = totals.withColumn(
-        "_base", F.coalesce(F.sum("_t").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_t")
+    sums = rows.groupBy(*family, "_slice").agg(F.sum(amount).alias("_sum"))
+    whole = Window.partitionBy(*family)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns(
+        {
+            "_base": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)),
+            "total": F.sum("_sum").over(whole),
+        }
+    ).drop("_sum")
     inner = Window.partitionBy(*family, "_slice").orderBy(value)
     local = F.sum(amount).over(inner.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_local", F.coalesce(local, F.lit(0)))
-    rows = rows.join(totals, [*family, "_slice"])
+    rows = null_safe_join(rows, sums, [*family, "_slice"], "inner")
     return rows.withColumn("before", F.col("_base") + F.col("_local")).drop(
         "_slice", "_base", "_local"
     )
@@ -100,8 +108,7 @@ def quantiles(
         .groupBy(*family, value)
         .agg(F.count(F.lit(1)).alias("_m"))
     )
-    sizes = counts.groupBy(*family).agg(F.sum("_m").alias("n"))
-    placed = running_total(counts, family, value, "_m", width).join(sizes, family)
+    placed = running_total(counts, family, value, "_m", width).withColumnRenamed("total", "n")
     spots, picks = {}, []
     for name, p in probs.items():
         spots[name] = (F.col("n") - 1) * F.lit(float(p))

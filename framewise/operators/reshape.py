@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.text import split_capped
+from framewise.operators.joins import null_safe_join
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -58,14 +59,24 @@ def complete(
 ) -> DataFrame:
     """Add the missing ``rows`` x ``columns`` pairs inside each group, with filled values.
 
-    The ``columns`` domain of a group travels as one array (a vocabulary, so bounded by
-    the curated dictionary) and is unnested beside each ``rows`` key: the pairs are the
-    result itself, produced on the tasks that hold the keys.
+    ``df`` has one row per (group, rows, columns).  The cells of a ``rows`` key are packed
+    into a map and the group's ``columns`` domain into an array (both at most the
+    vocabulary); the array unfolds beside the map, so the completed pairs are produced in
+    place and never shuffled.
     """
+    values = [c for c in df.columns if c not in (*group, rows, columns)]
+    cell = F.struct(F.col(columns), F.struct(*values))
+    packed = df.groupBy(*group, rows).agg(F.map_from_entries(F.collect_list(cell)).alias("_cells"))
     domain = df.groupBy(*group).agg(F.collect_set(columns).alias("_domain"))
-    keys = df.select(*group, rows).distinct().join(domain, group)
-    keys = keys.select(*group, rows, F.explode("_domain").alias(columns))
-    return keys.join(df, [*group, rows, columns], "left").fillna(fill)
+    pairs = null_safe_join(packed, domain, group, "inner").select(
+        *group, rows, "_cells", F.explode("_domain").alias(columns)
+    )
+    found = F.try_element_at("_cells", F.col(columns))
+    filled = [
+        F.coalesce(found.getField(v), F.lit(fill[v])).alias(v) if v in fill else found.getField(v).alias(v)
+        for v in values
+    ]
+    return pairs.select(*group, rows, columns, *filled)
 
 
 def counts_over_levels(
