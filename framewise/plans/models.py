@@ -59,7 +59,7 @@ def rank_sum(
     out = sums.withColumn("w", w).withColumn(
         "z", F.try_divide(off - F.signum(off) * 0.5, spread)
     )
-    out = out.withColumn("p_value", F.least(F.lit(1.0), z_p("z")))
+    out = out.withColumn("p_value", z_p("z"))
     return out.select(
         *family, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), "w", "z", "p_value"
     )

@@ -1,6 +1,10 @@
 import os
 import sys
 
+# Before numpy loads: many small dense solves are slower on several BLAS threads.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
