@@ -135,11 +135,12 @@ def _named(sums: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in sums.items()]
 
 
-def _matrix(row, k: int, prefix: str = "_xx") -> np.ndarray:
-    m = np.empty((k, k))
+def _matrices(rows: pd.DataFrame, k: int, prefix: str = "_xx") -> np.ndarray:
+    """One symmetric k x k matrix per row."""
+    m = np.empty((len(rows), k, k))
     for i in range(k):
         for j in range(i, k):
-            m[i, j] = m[j, i] = row[f"{prefix}{i}_{j}"]
+            m[:, i, j] = m[:, j, i] = rows[f"{prefix}{i}_{j}"].to_numpy()
     return m
 
 
@@ -197,8 +198,7 @@ def linear_fit(df: DataFrame, y: str, terms: dict[str, Column], family: str) ->
     def solve(batches):
         for batch in batches:
             rows = []
-            for _, r in batch.iterrows():
-                xx = _matrix(r, k)
+            for (_, r), xx in zip(batch.iterrows(), _matrices(batch, k)):
                 kept = _usable(xx)
                 xy = np.array([r[f"_xy{i}"] for i in kept])
                 inverse = np.linalg.inv(xx[np.ix_(kept, kept)])
@@ -276,7 +276,7 @@ def random_intercept_fit(
 
     def fit(sizes: pd.DataFrame) -> pd.DataFrame:
         sums = sizes[products].sum()
-        xx = _matrix(sums, k)
+        xx = _matrices(sizes, k).sum(axis=0)
         kept = _usable(xx)
         square = np.ix_(kept, kept)
         parts = {
@@ -286,7 +286,7 @@ def random_intercept_fit(
             "xy": np.array([sums[f"_xy{i}"] for i in kept]),
             "yy": sums["_yy"],
             "n": sums["_n"],
-            "sxx": np.stack([_matrix(r, k, "_sxx")[square] for _, r in sizes.iterrows()]),
+            "sxx": _matrices(sizes, k, "_sxx")[:, kept][:, :, kept],
             "sxy": sizes[[f"_sxy{i}" for i in kept]].to_numpy(),
             "syy": sizes["_syy"].to_numpy(),
         }
