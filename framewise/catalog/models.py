@@ -260,7 +260,16 @@ FROM adjusted WHERE term <> '(intercept)'""",
   round(padj, 6) AS p_adjusted FROM adjusted WHERE term <> '(intercept)' AND p < 0.5""",
         6,
     ),
-    "predict_grid_by_category": query(_share_predict, None, 6),
+    "predict_grid_by_category": query(
+        _share_predict,
+        with_ctes(EV_DAY, POINTS, AGE_SHARES) + """SELECT category, site, age, round(f, 6) AS n_frames, round(p, 6) AS predicted,
+  round(p - h, 6) AS conf_low, round(p + h, 6) AS conf_high FROM (
+  SELECT ab.category, ab.site, g.age, m.f, ay + ab.by * g.age + cf * (m.f - af - bf * g.age) AS p,
+    1.959963984540054 * sqrt(s2 * (va + vb * (g.age * g.age - 2 * g.age * mx) + (m.f - af - bf * g.age) ** 2 / rff)) AS h
+  FROM ab JOIN k USING (category) JOIN (SELECT category, avg(f) AS f FROM v GROUP BY category) m USING (category)
+  JOIN (SELECT DISTINCT category, age FROM v) g USING (category))""",
+        6,
+    ),
     "linear_site_age": query(
         lambda s, d: models.coefficients(_totals_fit(s, d), "model").select(*COEF),
         with_ctes(OBS_ORDERS, POINTS, TOTALS) + f"""SELECT CAST(position AS BIGINT) AS position, term, round(est, 6) AS estimate,

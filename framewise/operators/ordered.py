@@ -32,39 +32,30 @@ def neighbours(
 ) -> DataFrame:
     """Add ``prev_<c>`` and ``next_<c>`` of the row before and after within ``key``.
 
-    ``slice_`` must be non-decreasing along ``order`` (the calendar day of a time stamp).
+    ``slice_`` must be non-decreasing along ``order`` (the calendar day of a time stamp),
+    whose first column is never NULL.
     Neighbours are looked up inside (key, slice); only the first and last row of each
     slice meet in a second window per key, which fills in the steps between slices.
     """
     inner = Window.partitionBy(*key, "_slice").orderBy(*order)
+    across = Window.partitionBy(*key).orderBy("_slice", *order)
+    # The leading order column is never NULL, so its neighbour is NULL at a slice edge only.
+    looked = [*columns, *([order[0]] if order[0] not in columns else [])]
     rows = df.withColumn("_slice", slice_)
     rows = rows.withColumns(
         {
-            **{f"prev_{c}": F.lag(c).over(inner) for c in columns},
-            **{f"next_{c}": F.lead(c).over(inner) for c in columns},
-            "_first": F.row_number().over(inner) == 1,
-            "_last": F.lead(F.lit(True)).over(inner).isNull(),
-        }
-    )
-    across = Window.partitionBy(*key).orderBy("_slice", *order)
-    edge = F.col("_first") | F.col("_last")
-    edges = rows.where(edge).withColumns(
-        {
-            **{
-                f"prev_{c}": F.when(F.col("_first"), F.lag(c).over(across)).otherwise(
-                    F.col(f"prev_{c}")
-                )
-                for c in columns
-            },
-            **{
-                f"next_{c}": F.when(F.col("_last"), F.lead(c).over(across)).otherwise(
-                    F.col(f"next_{c}")
-                )
-                for c in columns
-            },
+            **{f"prev_{c}": F.lag(c).over(inner) for c in looked},
+            **{f"next_{c}": F.lead(c).over(inner) for c in looked},
         }
     )
-    return rows.where(~edge).unionByName(edges).drop("_slice", "_first", "_last")
+    first, last = F.col(f"prev_{order[0]}").isNull(), F.col(f"next_{order[0]}").isNull()
+    steps = {}
+    for c in columns:
+        steps[f"prev_{c}"] = F.when(first, F.lag(c).over(across)).otherwise(F.col(f"prev_{c}"))
+        steps[f"next_{c}"] = F.when(last, F.lead(c).over(across)).otherwise(F.col(f"next_{c}"))
+    edges = rows.where(first | last).withColumns(steps)
+    out = [*df.columns, *[f"{side}_{c}" for c in columns for side in ("prev", "next")]]
+    return rows.where(~(first | last)).unionByName(edges).select(*out)
 
 
 def running_total(

@@ -54,12 +54,11 @@ def transition_rate(
     are ordered by time within the subject; ``slice_by`` cuts that order so that a
     subject with very many frames is not one task.
     """
-    frame = ["site", "subject", "age", "frame"]
-    # One row per (frame, item): a frame's list is then no longer than the vocabulary.
-    rows = view.select(*frame, "ts", "item", column).distinct()
-    frames = rows.groupBy(*frame).agg(
-        F.min("ts").alias("ts"),
-        F.array_join(F.sort_array(F.collect_list(column)), ", ").alias("held"),
+    # A set of (value, item) pairs: repeated records count once, the list is no longer than
+    # the vocabulary, and two items of one category still show as two entries.
+    pairs = F.sort_array(F.collect_set(F.struct(F.col(column).alias("v"), F.col("item").alias("i"))))
+    frames = view.groupBy("site", "subject", "age", "frame").agg(
+        F.min("ts").alias("ts"), F.array_join(pairs.getField("v"), ", ").alias("held")
     )
     steps = neighbours(
         frames, ["subject"], ["ts", "frame"], ["held"], F.date_trunc(slice_by, "ts")
