@@ -155,7 +155,7 @@ def none_overlay(s, d):
 
 
 def overlaid(s, d):
-    step = prep.apply_overlay(raw(s, d), unsure_overlay(s, d))
+    step = prep.apply_overlay(prep.colocate(raw(s, d)), unsure_overlay(s, d))
     step = prep.apply_overlay(step, b.immovable(s, d))
     return prep.apply_overlay(step, none_overlay(s, d), how="full")
 

@@ -1,6 +1,9 @@
 """From flagged, multi-valued, hand-coded records to the clean fact.
 
-Records carry ``subject, frame, item, reason``; ``KEYS`` identify a frame.
+Records carry ``subject, frame, item, reason``; ``KEYS`` identify a frame and are never
+NULL.  All steps keep a frame's records together, so a chain that starts from
+``colocate`` shuffles the records once: later joins on the frame, distinct rows and frame
+windows find them in place.
 """
 
 from __future__ import annotations
@@ -64,6 +67,11 @@ def overlay_first_flag(df: DataFrame, priority: list[tuple[str, str]]) -> DataFr
     return df.select(*KEYS, F.col("item").alias("new_item"), reason.alias("new_reason"))
 
 
+def colocate(df: DataFrame) -> DataFrame:
+    """Hash the (already distinct) records by frame."""
+    return df.repartition(*KEYS)
+
+
 def apply_overlay(base: DataFrame, overlay: DataFrame, how: str = "left") -> DataFrame:
     """Replace the records of every frame the overlay lists, even by NULL.
 
@@ -72,7 +80,7 @@ def apply_overlay(base: DataFrame, overlay: DataFrame, how: str = "left") -> Dat
     the base lacks.
     """
     listed = overlay.select(*KEYS).distinct().withColumn("_listed", F.lit(True))
-    marked = null_safe_join(base.select(*RECORD), listed, KEYS, "left")
+    marked = base.select(*RECORD).join(listed, KEYS, "left")
     untouched = F.col("_listed").isNull()
     collapsed = marked.select(
         *KEYS,
@@ -80,7 +88,9 @@ def apply_overlay(base: DataFrame, overlay: DataFrame, how: str = "left") -> Dat
         F.when(untouched, F.col("reason")).alias("reason"),
     ).distinct()
     rows = overlay.select(*KEYS, "new_item", "new_reason").withColumn("_hit", F.lit(True))
-    joined = null_safe_join(collapsed, rows, KEYS, how)
+    joined = collapsed.join(rows, KEYS, how)
+    if how == "full":  # a full join forgets its partitioning
+        joined = colocate(joined)
     hit = F.col("_hit").isNotNull()
     picked = joined.select(
         *KEYS,
@@ -138,7 +148,7 @@ def relabel_by_frame(
     item = F
     for flag, name in rules:
         item = item.when(F.col(f"_{flag}") & scope, F.lit(name))
-    renamed = null_safe_join(df, marks, KEYS, "left").withColumn("item", item.otherwise(F.col("item")))
+    renamed = df.join(marks, KEYS, "left").withColumn("item", item.otherwise(F.col("item")))
     return renamed.select(*df.columns)
 
 
@@ -190,8 +200,7 @@ def clean_fact(
     if dropped is not None:
         df = non_members(df, dropped, ["subject"])
     people = participants.select("subject", "site", "age", "sex", "wearer")
-    joined = null_safe_join(df, people, ["subject"], "left")
-    joined = null_safe_join(joined, timestamps.select(*KEYS, "ts"), KEYS, "left")
+    joined = df.join(timestamps.select(*KEYS, "ts"), KEYS, "left").join(people, ["subject"], "left")
     reason = F.col("reason")
     return joined.select(
         "site",

@@ -152,3 +152,23 @@ def test_clean_fact_and_view(make, values):
     ]
     view = prep.analysis_view(fact, ("camera",))
     assert values(view, "subject", "item", "hour") == [(1, "ball", 13)]
+
+
+def test_colocated_records_are_not_shuffled_again(spark, make):
+    base = make(REC, (1, "a", "x", None), (1, "b", "y, z", None), (2, "a", None, "Unsure"))
+    overlay = make(OVER, (1, "a", "p, q", None))
+    chain = prep.apply_overlay(prep.colocate(base.distinct()), overlay)
+    chain = prep.resolve_reasons(prep.split_items(prep.apply_overlay(chain, overlay)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        chain.collect()
+        plan = chain._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    base_exchanges = [
+        line for line in plan.splitlines()
+        if "Exchange hashpartitioning" in line and "Reused" not in line and "new_" not in line
+    ]
+    by_all_columns = [line for line in base_exchanges if "item#" in line]
+    assert len(by_all_columns) == 1  # the first distinct
+    assert sum("REPARTITION_BY_COL" in line for line in base_exchanges) == 1
