@@ -160,15 +160,6 @@ def overlaid(s, d):
     return prep.apply_overlay(step, none_overlay(s, d), how="full")
 
 
-def labelled(s, d):
-    return prep.regularise_labels(prep.split_items(overlaid(s, d)), b.labels(s, d))
-
-
-def relabelled(s, d):
-    corrected = prep.apply_corrections(labelled(s, d), b.corrections(s, d))
-    return prep.relabel_by_frame(corrected, b.records(s, d), PATTERN, RULES)
-
-
 def dropped(s, d):
     pairs = b.pairs(s, d)
     picked = prep.pick_one(pairs, "person", "subject", SEED)
@@ -176,8 +167,15 @@ def dropped(s, d):
 
 
 def fact(s, d):
-    resolved = prep.resolve_reasons(prep.assign_category(relabelled(s, d), b.categories(s, d)))
-    return prep.clean_fact(resolved, b.people(s, d), b.timestamps(s, d), dropped(s, d))
+    overlays = [
+        (unsure_overlay(s, d), "left"),
+        (b.immovable(s, d), "left"),
+        (none_overlay(s, d), "full"),
+    ]
+    return prep.prepare(
+        b.records(s, d), overlays, b.labels(s, d), b.corrections(s, d), PATTERN, RULES,
+        b.categories(s, d), b.people(s, d), b.timestamps(s, d), dropped(s, d),
+    )
 
 
 def _records_as_items(s, d):

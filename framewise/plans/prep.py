@@ -216,6 +216,36 @@ def clean_fact(
     ).distinct()
 
 
+def prepare(
+    records: DataFrame,
+    overlays: list[tuple[DataFrame, str]],
+    labels: DataFrame,
+    corrections: DataFrame,
+    pattern: str,
+    rules: list[tuple[str, str]],
+    categories: DataFrame,
+    participants: DataFrame,
+    timestamps: DataFrame,
+    dropped: DataFrame | None = None,
+    flags: dict[str, str] = REASON_FLAGS,
+    strict: bool = False,
+) -> DataFrame:
+    """The whole chain from raw records to the clean fact, shuffled by frame once.
+
+    ``overlays`` are applied in order, each with its join kind.  ``pattern`` and ``rules``
+    relabel frames by their raw text and flags.
+    """
+    flagged = text_flag(records, "item", EXPERIMENTER_TEXT, "experimenter")
+    rows = colocate(flags_to_reason(flagged, flags, strict))
+    for overlay, how in overlays:
+        rows = apply_overlay(rows, overlay, how)
+    rows = regularise_labels(split_items(rows), labels)
+    rows = apply_corrections(rows, corrections)
+    rows = relabel_by_frame(rows, records, pattern, rules)
+    rows = resolve_reasons(assign_category(rows, categories))
+    return clean_fact(rows, participants, timestamps, dropped)
+
+
 def analysis_view(fact: DataFrame, excluded_items: tuple[str, ...] = ()) -> DataFrame:
     """Usable, categorised rows with the hour of day."""
     usable = fact.where(F.col("reason").isNull() & F.col("category").isNotNull())
