@@ -9,7 +9,7 @@ from framewise.domain import Domain
 from framewise.functions.nulls import share
 from framewise.operators.ordered import quantiles
 from framewise.operators.reshape import widen
-from framewise.plans.rates import category_share, describe
+from framewise.plans.rates import category_share
 
 SUBJECT = ["site", "subject"]
 
