@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewise.llm.common import shared_path, table
-from framewise.llm.tokens import encoder
+from framewise.llm.tokens import encoder, slices
 
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -190,8 +190,7 @@ def tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, 1):
                 width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
                 ids = [np.append(x, end_id) for x in encoder(path).encode(some.column(1))]
                 rows = np.arange(row, row + len(some))

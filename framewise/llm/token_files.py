@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewise.llm.common import partitions, shared_path, table
-from framewise.llm.tokens import encoder
+from framewise.llm.tokens import encoder, slices
 
 MAGIC = b"PFR1"
 BLOCK = 256
@@ -135,8 +135,7 @@ def segment_writer(path: str, end_id: int, segment_tokens: int):
             )
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, 1):
                 for name, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1))):
                     names.append(name)
                     docs.append(np.append(ids, end_id))

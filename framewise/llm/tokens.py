@@ -49,10 +49,20 @@ def gather(index: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.nd
 def csr(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, sizes and the flat values of lists of integers."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
     return np.cumsum(sizes) - sizes, sizes, flat
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 23):
+    """Consecutive slices of a batch with about ``limit`` bytes of text each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def by_parts(texts: pa.Array, lists: pa.ListArray, encode_parts) -> list[np.ndarray]:
     """Ids of each text from its parts; ``encode_parts`` gets the distinct parts."""
     parts = lists.flatten().dictionary_encode()
@@ -68,17 +78,17 @@ class Encoder:
     """Encodes as ``Tokenizer.encode`` does, without special tokens being added.
 
     The two public layouts (words, bytes) cut a text at places that no merge crosses, so the
-    library's model runs once per distinct piece and results are kept up to ``keep`` pieces.
+    library's model runs once per distinct piece and results are kept up to ``keep`` parts.
     Texts with unusual characters, loose blanks or the strings of special tokens, and every text
     of another layout, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         with open(path, encoding="utf-8") as f:
             self.tokenizer = Tokenizer.from_str(f.read())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.keep, self.pieces = self.tokenizer.model, keep, {}
+        self.model, self.keep, self.known = self.tokenizer.model, keep, {}
         told = json.loads(self.tokenizer.to_str())
         self.size = self.tokenizer.get_vocab_size()
         norm = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
@@ -92,25 +102,36 @@ class Encoder:
                 self.layout, self.pattern = "bytes", regex.compile(BYTE_PATTERN)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def part(self, text: str) -> list[int]:
+    def part(self, text: str) -> tuple[int, ...]:
         """Ids of a part that starts and ends at certain cuts."""
-        known, out = self.pieces, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = tuple(t.id for t in self.model.tokenize(letters(piece)))
-            out.extend(ids)
-        return out
+        known = self.known
+        ids = known.get(text)
+        if ids is None:
+            # a blank and letters are one piece in either layout
+            if text.lstrip(" ").isalpha():
+                ids = self.piece(text)
+            else:
+                ids = ()
+                for piece in self.pattern.findall(text):
+                    own = known.get(piece)
+                    if own is None:
+                        own = known[piece] = self.piece(piece)
+                    ids += own
+            known[text] = ids
+        return ids
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.model.tokenize(letters(text))])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; NULL counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.layout is None:
             return [self.whole(t) for t in texts.to_pylist()]
-        if len(self.pieces) > self.keep:
-            self.pieces.clear()
+        if len(self.known) > self.keep:
+            self.known.clear()
         odd = pc.match_substring_regex(texts, ODD if self.layout == "words" else f"{ODD}|{LOOSE_BLANK}")
         easy = texts.filter(pc.invert(odd))
         if self.layout == "words":
@@ -127,7 +148,7 @@ class Encoder:
         heads = lists.values.take(lists.offsets[:-1]).to_pylist() if len(texts) else []
         # the first part of a text has no blank before it
         return [
-            np.concatenate([np.asarray(self.part(h), np.int64), x[len(self.part(" " + h)) :]]) if h else x
+            np.concatenate([np.asarray(self.part(h), np.int32), x[len(self.part(" " + h)) :]]) if h else x
             for x, h in zip(ids, heads)
         ]
 
