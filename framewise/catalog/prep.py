@@ -72,12 +72,12 @@ def overlay_sql(name: str, base: str, overlay: str, join: str = "LEFT") -> str:
       ON b.subject = o.subject AND b.frame = o.frame))"""
 
 
-def split_sql(name: str, base: str, k: int) -> str:
+def split_sql(name: str, base: str) -> str:
     return f"""{name} AS (
   SELECT DISTINCT subject, frame, CASE WHEN reason IS NULL THEN entry END AS item, reason FROM (
     SELECT subject, frame, reason, unnest(CASE WHEN len(entries) > 0 THEN entries ELSE [NULL] END) AS entry FROM (
       SELECT subject, frame, reason,
-        list_filter(list_transform(string_split(item, ',')[1:{k}], lambda x: trim(x)), lambda x: x <> '') AS entries
+        list_filter(list_transform(string_split(item, ','), lambda x: trim(x)), lambda x: x <> '') AS entries
       FROM {base}))
   WHERE entry IS NOT NULL OR reason IS NOT NULL)"""
 
@@ -86,7 +86,7 @@ def labels_sql(name: str, base: str) -> str:
     named = f"""{name}_named AS (
   SELECT subject, frame, coalesce(new_item, b.item) AS item, reason
   FROM {base} b LEFT JOIN labels_dict d ON b.item IS NOT DISTINCT FROM d.item)"""
-    return named + ",\n" + split_sql(name, f"{name}_named", 2)
+    return named + ",\n" + split_sql(name, f"{name}_named")
 
 
 def relabel_sql(name: str, base: str) -> str:
@@ -126,10 +126,10 @@ ALL_STEPS = with_ctes(
     overlay_sql("s_unsure", "raw", "o_unsure"),
     overlay_sql("s_immovable", "s_unsure", "o_immovable"),
     overlay_sql("s_none", "s_immovable", "o_none", "FULL"),
-    split_sql("s_items", "s_none", 3),
+    split_sql("s_items", "s_none"),
     labels_sql("s_labels", "s_items"),
     overlay_sql("s_corrected", "s_labels", "o_corrections"),
-    split_sql("s_corrections", "s_corrected", 3),
+    split_sql("s_corrections", "s_corrected"),
     relabel_sql("s_relabel", "s_corrections"),
     category_sql("s_category", "s_relabel"),
     resolve_sql("s_resolved", "s_category"),
@@ -230,37 +230,37 @@ QUERIES = {
         lambda s, d: prep.worklist(
             _records_as_items(s, d).select("item").distinct(), b.labels(s, d), ["item"], F.lit(True)
         ),
-        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw", 3)) + """
+        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw")) + """
 SELECT DISTINCT item FROM items i WHERE NOT EXISTS (
   SELECT 1 FROM labels_dict d WHERE d.item IS NOT DISTINCT FROM i.item)""",
     ),
     "explode_list": query(
         _records_as_items,
-        with_ctes(RECORDS, RAW, split_sql("items", "raw", 3)) + RECORD_SQL + "items",
+        with_ctes(RECORDS, RAW, split_sql("items", "raw")) + RECORD_SQL + "items",
     ),
     "regularise_labels": query(
         lambda s, d: prep.regularise_labels(_records_as_items(s, d), b.labels(s, d)),
-        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw", 3), labels_sql("named", "items"))
+        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw"), labels_sql("named", "items"))
         + RECORD_SQL + "named",
     ),
     "apply_corrections": query(
         lambda s, d: prep.apply_corrections(_records_as_items(s, d), b.corrections(s, d)),
         with_ctes(
-            RECORDS, RAW, OVERLAYS, split_sql("items", "raw", 3),
-            overlay_sql("corrected", "items", "o_corrections"), split_sql("step", "corrected", 3),
+            RECORDS, RAW, OVERLAYS, split_sql("items", "raw"),
+            overlay_sql("corrected", "items", "o_corrections"), split_sql("step", "corrected"),
         )
         + RECORD_SQL + "step",
     ),
     "relabel_by_frame": query(
         lambda s, d: prep.relabel_by_frame(_records_as_items(s, d), b.records(s, d), PATTERN, RULES),
-        with_ctes(RECORDS, RAW, split_sql("items", "raw", 3), relabel_sql("step", "items"))
+        with_ctes(RECORDS, RAW, split_sql("items", "raw"), relabel_sql("step", "items"))
         + RECORD_SQL + "step",
     ),
     "relabel_by_frame_matching": query(
         lambda s, d: prep.relabel_by_frame(
             _records_as_items(s, d), b.records(s, d), PATTERN, RULES, only_matching=True
         ),
-        with_ctes(RECORDS, RAW, split_sql("items", "raw", 3), relabel_sql("step", "items")) + """
+        with_ctes(RECORDS, RAW, split_sql("items", "raw"), relabel_sql("step", "items")) + """
 SELECT i.subject, i.frame, CASE WHEN i.item LIKE '%ring%' THEN s.item ELSE i.item END AS item, i.reason
 FROM items i JOIN (SELECT DISTINCT subject, frame, item FROM step WHERE item IN ('ring-M', 'ring-W')) s
   ON i.subject = s.subject AND i.frame = s.frame
@@ -274,12 +274,12 @@ UNION ALL SELECT * FROM items i WHERE (subject, frame) NOT IN (
     ),
     "assign_category": query(
         lambda s, d: prep.assign_category(_records_as_items(s, d), b.categories(s, d)),
-        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw", 3), category_sql("step", "items"))
+        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw"), category_sql("step", "items"))
         + "SELECT subject, frame, reason, category, item FROM step",
     ),
     "resolve_reasons": query(
         lambda s, d: prep.resolve_reasons(_records_as_items(s, d)),
-        with_ctes(RECORDS, RAW, split_sql("items", "raw", 3), resolve_sql("step", "items"))
+        with_ctes(RECORDS, RAW, split_sql("items", "raw"), resolve_sql("step", "items"))
         + RECORD_SQL + "step",
     ),
     "pick_one": query(

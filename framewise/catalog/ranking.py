@@ -165,7 +165,7 @@ SELECT * FROM panel WHERE subject IN (
         _panel_sql(25, f"{SENTENCE} || ' (' || {_labels(ORDERS_DOMAIN.labels)} || ')'"),
     ),
     "top_items_short_labels": query(
-        lambda s, d: rank.top_items(rank.item_reach(obs_orders(s, d)), 40, ORDERS_DOMAIN, ORDERS_DOMAIN.sites),
+        lambda s, d: rank.top_items(rank.item_reach(obs_orders(s, d)), 40, ORDERS_DOMAIN, ORDERS_DOMAIN.sites, short=True),
         _panel_sql(40, f"{SENTENCE} || ' (' || {_labels(ORDERS_DOMAIN.short_labels)} || ')'"),
     ),
     "top_items_category": query(

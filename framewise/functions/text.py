@@ -26,9 +26,11 @@ def list_length(value: Column, sep: str = ",") -> Column:
     return F.regexp_count(value, F.lit(re.escape(sep))) + F.lit(1)
 
 
-def split_capped(value: Column, max_items: int, sep: str = ",") -> Column:
-    """Delimited string as an array of at most ``max_items`` trimmed entries."""
-    pieces = F.slice(F.split(value, re.escape(sep)), 1, max_items)
+def split_capped(value: Column, max_items: int | None = None, sep: str = ",") -> Column:
+    """Delimited string as an array of trimmed entries, all or the first ``max_items``."""
+    pieces = F.split(value, re.escape(sep))
+    if max_items is not None:
+        pieces = F.slice(pieces, 1, max_items)
     return F.transform(pieces, lambda x: F.trim(x))
 
 

@@ -31,9 +31,9 @@ def widen(df: DataFrame, keys: list[str], name: str, levels: list, value: Column
 
 
 def explode_list(
-    df: DataFrame, column: str, max_items: int, sep: str = ",", keep_if: Column | None = None
+    df: DataFrame, column: str, max_items: int | None = None, sep: str = ",", keep_if: Column | None = None
 ) -> DataFrame:
-    """One row per list entry, at most ``max_items`` of them.
+    """One row per list entry, all or the first ``max_items``.
 
     Entries are trimmed and empty ones dropped.  A row left without entries survives
     once, with NULL, where ``keep_if`` holds.
@@ -65,18 +65,18 @@ def complete(
     place and never shuffled.
     """
     values = [c for c in df.columns if c not in (*group, rows, columns)]
-    cell = F.struct(F.col(columns), F.struct(*values))
+    cell = F.struct(F.struct(columns), F.struct(*values))  # a struct may hold NULL as a key
     packed = df.groupBy(*group, rows).agg(F.map_from_entries(F.collect_list(cell)).alias("_cells"))
-    domain = df.groupBy(*group).agg(F.collect_set(columns).alias("_domain"))
+    domain = df.groupBy(*group).agg(F.collect_set(F.struct(columns)).alias("_domain"))
     pairs = null_safe_join(packed, domain, group, "inner").select(
-        *group, rows, "_cells", F.explode("_domain").alias(columns)
+        *group, rows, "_cells", F.explode("_domain").alias("_column")
     )
-    found = F.try_element_at("_cells", F.col(columns))
+    found = F.try_element_at("_cells", F.col("_column"))
     filled = [
         F.coalesce(found.getField(v), F.lit(fill[v])).alias(v) if v in fill else found.getField(v).alias(v)
         for v in values
     ]
-    return pairs.select(*group, rows, columns, *filled)
+    return pairs.select(*group, rows, F.col("_column").getField(columns).alias(columns), *filled)
 
 
 def counts_over_levels(

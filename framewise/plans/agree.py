@@ -99,6 +99,8 @@ def agreement_summary(per_subject: DataFrame) -> DataFrame:
             F.sum("n_frames").alias("n_frames"),
             (F.avg("category_agreement") * 100).alias("category_pct"),
             (F.avg("item_agreement") * 100).alias("item_pct"),
+            F.grouping("site").alias("_all"),
         )
-        .withColumn("site", F.coalesce("site", F.lit("All")))
+        .withColumn("site", F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col("site")))
+        .drop("_all")
     )

@@ -21,7 +21,8 @@ RECORD = [*KEYS, "item", "reason"]
 # Fixed values of the published coding scheme.
 REASON_FLAGS = {"none": "None", "exclude": "Exclude", "unsure": "Unsure", "experimenter": "Experimenter"}
 EXPERIMENTER_TEXT = "exclude"
-RAW_LIST_MAX, LABEL_LIST_MAX, CORRECTION_LIST_MAX = 3, 2, 3
+# The published scheme reads at most so many entries of raw, dictionary and correction lists.
+PUBLISHED_CAPS = (3, 2, 3)
 CONFLICT_REASON = "None"
 
 
@@ -105,14 +106,14 @@ def worklist(df: DataFrame, checked: DataFrame, keys: list[str], where: Column)
     return non_members(df.where(where), checked, keys)
 
 
-def split_items(df: DataFrame, max_items: int = RAW_LIST_MAX) -> DataFrame:
+def split_items(df: DataFrame, max_items: int | None = None) -> DataFrame:
     """One record per listed item; rows with neither item nor reason disappear."""
     rows = explode_list(df.select(*RECORD), "item", max_items, keep_if=F.col("reason").isNotNull())
     return rows.withColumn("item", blank_where_set(F.col("reason"), F.col("item"))).distinct()
 
 
 def regularise_labels(
-    df: DataFrame, labels: DataFrame, max_items: int = LABEL_LIST_MAX
+    df: DataFrame, labels: DataFrame, max_items: int | None = None
 ) -> DataFrame:
     """Swap raw labels for their dictionary form, which may itself list items."""
     named = null_safe_join(df, labels.select("item", "new_item"), ["item"], "left")
@@ -121,7 +122,7 @@ def regularise_labels(
 
 
 def apply_corrections(
-    df: DataFrame, corrections: DataFrame, max_items: int = CORRECTION_LIST_MAX
+    df: DataFrame, corrections: DataFrame, max_items: int | None = None
 ) -> DataFrame:
     """Authoritative overlay whose items may be lists."""
     return split_items(apply_overlay(df, corrections), max_items)
@@ -229,18 +230,20 @@ def prepare(
     dropped: DataFrame | None = None,
     flags: dict[str, str] = REASON_FLAGS,
     strict: bool = False,
+    caps: tuple[int | None, int | None, int | None] = (None, None, None),
 ) -> DataFrame:
     """The whole chain from raw records to the clean fact, shuffled by frame once.
 
     ``overlays`` are applied in order, each with its join kind.  ``pattern`` and ``rules``
-    relabel frames by their raw text and flags.
+    relabel frames by their raw text and flags.  Lists of items are read whole; ``caps`` limits
+    raw, dictionary and correction lists, as ``PUBLISHED_CAPS`` does.
     """
     flagged = text_flag(records, "item", EXPERIMENTER_TEXT, "experimenter")
     rows = colocate(flags_to_reason(flagged, flags, strict))
     for overlay, how in overlays:
         rows = apply_overlay(rows, overlay, how)
-    rows = regularise_labels(split_items(rows), labels)
-    rows = apply_corrections(rows, corrections)
+    rows = regularise_labels(split_items(rows, caps[0]), labels, caps[1])
+    rows = apply_corrections(rows, corrections, caps[2])
     rows = relabel_by_frame(rows, records, pattern, rules)
     rows = resolve_reasons(assign_category(rows, categories))
     return clean_fact(rows, participants, timestamps, dropped)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.domain import Domain
 from framewise.functions.nulls import half_even, share
 from framewise.functions.text import sentence_case, strip_first
-from framewise.operators.joins import outside
+from framewise.operators.joins import null_safe_join, outside
 from framewise.operators.ordered import rank_rows
 from framewise.operators.reshape import widen
 
@@ -73,6 +73,8 @@ def item_exposure(view: DataFrame, measure: str = "frames") -> DataFrame:
         .where(F.col("_subjects") == 0)
         .withColumn("prop", share(F.col("_sum"), F.col("n_all")))
     )
+    # sums of shares differ in their last digits with the order of addition; ranks must not
+    means = means.withColumn("prop", F.round("prop", 12))
     return rank_rows(means, ["site"], _by("prop")).select("site", *ITEM, "n_all", "prop", "rank")
 
 
@@ -138,7 +140,7 @@ def top_items(
     domain: Domain,
     sites: tuple[str, ...] | None = None,
     category: str | None = None,
-    short_above: int = 30,
+    short: bool = False,
 ) -> DataFrame:
     """Leading items per site, re-ranked without study equipment, with display labels.
 
@@ -148,7 +150,7 @@ def top_items(
     rows = rank_rows(rows, ["site"], _by("prop"), top)
     name = sentence_case(strip_first(F.col("item"), domain.strip))
     if category is None:
-        tag = domain.label(F.col("category"), short=top > short_above)
+        tag = domain.label(F.col("category"), short=short)
         name = F.concat(name, F.lit(" ("), tag, F.lit(")"))
     return rows.select(
         "site", *ITEM, "rank", "in_both", "prop", (F.col("prop") * 100).alias("y"), name.alias("label")
@@ -203,7 +205,7 @@ def category_table(view: DataFrame, domain: Domain, top: int = 3) -> DataFrame:
     wide = wide.withColumnsRenamed({s: f"n_{s}" for s in domain.sites})
     tops = top3_by_reach(view, domain, top)
     tops = tops.withColumnsRenamed({s: f"top_{s}" for s in domain.sites})
-    return wide.join(tops, "category").withColumn("label", domain.label(F.col("category")))
+    return null_safe_join(wide, tops, ["category"], "left").withColumn("label", domain.label(F.col("category")))
 
 
 def uncommon_items(reach: DataFrame, few: tuple[int, int] = (1, 2)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.domain import Domain
 from framewise.functions.nulls import share
-from framewise.operators.joins import members, natural_full_join
+from framewise.operators.joins import members, natural_full_join, null_safe_join
 from framewise.operators.ordered import neighbours
 from framewise.operators.reshape import counts_over_levels, one_hot
 
@@ -71,7 +71,7 @@ def transition_rate(
     )
     wide = ["site", "subject", "age", "hour"] if column == "item" else ["subject", "hour"]
     variety = per_hour(view, column, wide).withColumnRenamed("y", "n_values")
-    rates = moves.join(variety, wide, "left").withColumn(
+    rates = null_safe_join(moves, variety, wide, "left").withColumn(
         "y", share(F.col("n_transitions"), F.col("n_values"))
     )
     rates = rates.select(*SUBJECT_HOUR, "n_transitions", "n_values", "y")
@@ -144,7 +144,7 @@ def model_frame(view: DataFrame, domain: Domain) -> DataFrame:
         F.count_distinct("item").alias("n_items")
     )
     frames = view.groupBy(*SUBJECT).agg(F.count_distinct("frame").alias("n_frames"))
-    joined = cells.join(frames, SUBJECT)
+    joined = null_safe_join(cells, frames, SUBJECT, "inner")
     joined = joined.select(*SUBJECT, "n_frames", "hour", "category", "n_items")
     return one_hot(joined, "category", _indicators(domain))
 
@@ -158,7 +158,7 @@ def model_frame_zero(view: DataFrame, scaffold: DataFrame, domain: Domain) -> Da
     cell = [*SUBJECT, "hour", "category"]
     cells = view.groupBy(*cell).agg(F.count_distinct("item").alias("n_items"))
     frames = view.groupBy(*SUBJECT, "hour").agg(F.count_distinct("frame").alias("n_frames"))
-    seen = cells.join(frames, [*SUBJECT, "hour"]).select(*cell, "n_frames", "n_items")
+    seen = null_safe_join(cells, frames, [*SUBJECT, "hour"], "inner").select(*cell, "n_frames", "n_items")
     known = members(scaffold, view.select("subject").distinct(), ["subject"])
     empty = known.select(*cell, F.lit(0).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("n_items"))
     filled = seen.unionByName(empty).groupBy(*cell).agg(

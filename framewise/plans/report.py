@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.domain import Domain
 from framewise.functions.nulls import share
+from framewise.operators.joins import null_safe_join
 from framewise.operators.ordered import quantiles
 from framewise.operators.reshape import widen
 from framewise.plans.rates import category_share
@@ -34,9 +35,11 @@ def inclusion_report(fact: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_coded"),
             F.count_if(F.col("usable") & ~F.col("excluded")).alias("n_included"),
             F.count_if("excluded").alias("n_excluded"),
+            F.grouping("site").alias("_all"),
         )
         .withColumn("pct_excluded", share(F.col("n_excluded"), F.col("n_coded")) * 100)
-        .withColumn("site", F.coalesce("site", F.lit("All")))
+        .withColumn("site", F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col("site")))
+        .drop("_all")
     )
 
 
@@ -104,8 +107,9 @@ def daily_items(view: DataFrame) -> DataFrame:
         F.stddev_samp("n_items").alias("sd"),
         F.min("n_items").alias("min"),
         F.max("n_items").alias("max"),
+        F.grouping("site").alias("_all"),
     )
-    return stats.withColumn("site", F.coalesce("site", F.lit("All")))
+    return stats.withColumn("site", F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col("site"))).drop("_all")
 
 
 def category_means(view: DataFrame, domain: Domain) -> DataFrame:
@@ -156,7 +160,7 @@ def item_prevalence(view: DataFrame, item: str, width: float = 0.01) -> DataFram
         F.avg("prop").alias("mean"),
     )
     middle = quantiles(shares, ["site"], "prop", {"median": 0.5}, width).drop("n")
-    return spread.join(middle, "site").withColumn(
+    return null_safe_join(spread, middle, ["site"], "inner").withColumn(
         "prop_subjects", share(F.col("n_subjects"), F.col("n_all"))
     )
 
@@ -169,7 +173,7 @@ def box_summary(
         values, group, column, {"lower": 0.25, "middle": 0.5, "upper": 0.75}, width
     )
     y, margin = F.col(column), reach * (F.col("upper") - F.col("lower"))
-    rows = values.join(boxes, group)
+    rows = null_safe_join(values, boxes, group, "inner")
     return rows.groupBy(*group, "n", "lower", "middle", "upper").agg(
         F.min(F.when(y >= F.col("lower") - margin, y)).cast("double").alias("ymin"),
         F.max(F.when(y <= F.col("upper") + margin, y)).cast("double").alias("ymax"),

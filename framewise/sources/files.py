@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,8 @@ def read_annotations(spark: SparkSession, path: str, schema: T.StructType) -> Da
         .option("header", True)
         .option("enforceSchema", True)
         .option("nullValue", "NA")
+        .option("escape", '"')
+        .option("multiLine", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
@@ -67,7 +71,7 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] =
     """Write a table and hand the input back, so a step can both store and go on."""
     writer = df.write.mode("overwrite").partitionBy(*by)
     if form == "csv":
-        writer.option("header", True).option("nullValue", "NA").csv(path)
+        writer.option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
     else:
         writer.format(form).save(path)
     return df
@@ -84,9 +88,11 @@ def write_if_any(df: DataFrame, path: str, form: str = "csv") -> bool:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) falls back to the warehouse folder.
+    Only a local session without that setting gets a temporary folder; a cluster needs it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.sql.warehouse.dir"
-    )
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="framewise-")
     return os.path.join(root, f"framewise-{name}-{uuid.uuid4().hex}")

@@ -72,6 +72,9 @@ def test_worklist_leaves_out_checked_frames(make, values):
 def test_split_caps_trims_and_blanks(make, values):
     df = make(REC, (1, "a", "x, y ,z,w", None), (1, "b", None, None), (1, "c", "x,y", "Unsure"), (1, "d", "x, x", None))
     assert values(prep.split_items(df), "frame", "item") == [
+        ("a", "w"), ("a", "x"), ("a", "y"), ("a", "z"), ("c", None), ("d", "x"),
+    ]
+    assert values(prep.split_items(df, prep.PUBLISHED_CAPS[0]), "frame", "item") == [
         ("a", "x"), ("a", "y"), ("a", "z"), ("c", None), ("d", "x"),
     ]
 
@@ -80,6 +83,9 @@ def test_labels_may_be_lists_and_missing_labels_keep_the_item(make, values):
     df = make(REC, (1, "a", "phone w case", None), (1, "b", "cup", None), (1, "c", "pan", None), (1, "d", None, "None"))
     labels = make("item string, new_item string", ("phone w case", "phone, case, strap"), ("cup", None))
     assert values(prep.regularise_labels(df, labels), "frame", "item") == [
+        ("a", "case"), ("a", "phone"), ("a", "strap"), ("b", "cup"), ("c", "pan"), ("d", None),
+    ]
+    assert values(prep.regularise_labels(df, labels, 2), "frame", "item") == [
         ("a", "case"), ("a", "phone"), ("b", "cup"), ("c", "pan"), ("d", None),
     ]
 

@@ -71,7 +71,7 @@ def test_top_items_flag_uses_unfiltered_ranks(view, values):
     ]
     one = rank.top_items(reach, 31, DOMAIN, ("R",), "Mealtime Tool")
     assert values(one, "rank", "label", "y") == [(1, "Knife", 50.0), (2, "Spoon", 50.0)]
-    short = rank.top_items(reach, 31, DOMAIN, ("R",))
+    short = rank.top_items(reach, 31, DOMAIN, ("R",), short=True)
     assert values(short, "label") == [("Ball (T)",), ("Knife (M)",), ("Spoon (M)",)]
 
 
