@@ -9,6 +9,7 @@ import mmap
 import os
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -326,7 +327,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count_words(tokenizer), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
     body = lexicon_bytes([r.word for r in top], merges(tokenizer))
-    name = f"lexicon-{hashlib.sha1(body).hexdigest()}"
+    name = f"lexicon-{uuid.uuid4().hex}"  # a session takes each file name once
     path = os.path.join(tempfile.mkdtemp(prefix="framewise-"), name)
     with open(path, "wb") as f:
         f.write(body)
