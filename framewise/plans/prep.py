@@ -1,9 +1,9 @@
 """From flagged, multi-valued, hand-coded records to the clean fact.
 
 Records carry ``subject, frame, item, reason``; ``KEYS`` identify a frame and are never
-NULL.  All steps keep a frame's records together, so a chain that starts from
-``colocate`` shuffles the records once: later joins on the frame, distinct rows and frame
-windows find them in place.
+NULL.  All steps keep a frame's records together, so in a chain that starts from
+``colocate`` later joins on the frame, distinct rows and frame windows find them in place;
+dictionary joins that are not broadcast shuffle by item.
 """
 
 from __future__ import annotations
@@ -232,7 +232,7 @@ def prepare(
     strict: bool = False,
     caps: tuple[int | None, int | None, int | None] = (None, None, None),
 ) -> DataFrame:
-    """The whole chain from raw records to the clean fact, shuffled by frame once.
+    """The whole chain from raw records to the clean fact, kept together by frame.
 
     ``overlays`` are applied in order, each with its join kind.  ``pattern`` and ``rules``
     relabel frames by their raw text and flags.  Lists of items are read whole; ``caps`` limits
