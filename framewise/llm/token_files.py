@@ -20,6 +20,7 @@ from framewise.llm.tokens import encoder, slices
 MAGIC = b"PFR1"
 BLOCK = 256
 SEGMENTS = "part int, segment int, n_tokens long, doc_ids array<bigint>, body binary"
+DOCS = "doc_id long, start long, n_tokens long, ids array<int>"
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
@@ -68,23 +69,25 @@ def encode_blocks(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     low = values.min(1) if count else np.zeros(0, np.int64)
     rest = values - low[:, None]
     bits = bit_lengths(rest)
-    widths = np.sort(bits, 1)[:, int(np.ceil(percentile * BLOCK)) - 1] if count else np.zeros(0, np.int64)
+    place = int(np.ceil(percentile * BLOCK)) - 1
+    widths = np.partition(bits, place, 1)[:, place] if count else np.zeros(0, np.int64)
     packed: list[bytes] = [b""] * count
     for width in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == width)
         words = pack_words((rest[rows] & ((1 << width) - 1)).reshape(-1, 64), width).astype("<u8")
         for row, body in zip(rows.tolist(), words.reshape(len(rows), -1)):
             packed[row] = body.tobytes()
-    over = bits > widths[:, None]
-    blocks, starts, at = [], [], 0
-    for i in range(count):
-        places = np.flatnonzero(over[i])
-        high = rest[i, places] >> widths[i]
-        block = struct.pack("<IBH", low[i], widths[i], len(places)) + packed[i] + places.astype("u1").tobytes() + high.astype("<u4").tobytes()
-        starts.append(at)
-        at += len(block)
-        blocks.append(block)
-    return struct.pack("<QI", n, count) + np.asarray(starts, "<u4").tobytes() + b"".join(blocks)
+    rows, places = np.nonzero(bits > widths[:, None])
+    high = (rest[rows, places] >> widths[rows]).astype("<u4").tobytes()
+    extra = np.bincount(rows, minlength=count)
+    ends = np.cumsum(extra)
+    places = places.astype("u1").tobytes()
+    blocks = [
+        struct.pack("<IBH", least, width, b - a) + body + places[a:b] + high[4 * a : 4 * b]
+        for least, width, body, a, b in zip(low.tolist(), widths.tolist(), packed, (ends - extra).tolist(), ends.tolist())
+    ]
+    starts = np.cumsum([0, *map(len, blocks)])[:-1]
+    return struct.pack("<QI", n, count) + starts.astype("<u4").tobytes() + b"".join(blocks)
 
 
 def decode_blocks(body: memoryview, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -138,7 +141,7 @@ def segment_writer(path: str, end_id: int, segment_tokens: int):
             for some in slices(batch, 1):
                 for name, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1))):
                     names.append(name)
-                    docs.append(np.append(ids, end_id))
+                    docs.append(np.append(ids, np.int32(end_id)))
                     held += len(docs[-1])
                     if held >= segment_tokens:
                         yield close()
@@ -215,16 +218,18 @@ def segment_index(spark: SparkSession, path: str) -> DataFrame:
     return local.join(parts, "part").select("part", "segment", (F.col("local") + F.col("part_base")).alias("base"))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document in the files."""
+def read_token_files(spark: SparkSession, path: str, then=None, schema: str = DOCS) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of every document in the files.
+
+    ``then`` maps these batches further inside the same task; ``schema`` is that of its result.
+    """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     placed = segments.join(segment_index(spark, path), ["part", "segment"]).select("base", "doc_ids", "body")
-    return placed.mapInArrow(read_docs, "doc_id long, start long, n_tokens long, ids array<int>")
+    return placed.mapInArrow((lambda batches: then(read_docs(batches))) if then else read_docs, schema)
 
 
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    read = read_token_files(spark, path)
-    return read.mapInArrow(crc_docs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, path, crc_docs, "doc_id long, start long, n_tokens long, ids_crc32 long")

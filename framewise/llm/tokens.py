@@ -78,17 +78,18 @@ class Encoder:
     """Encodes as ``Tokenizer.encode`` does, without special tokens being added.
 
     The two public layouts (words, bytes) cut a text at places that no merge crosses, so the
-    library's model runs once per distinct piece and results are kept up to ``keep`` parts.
+    library's model runs once per distinct piece.  Results are kept in two generations of about
+    ``keep`` parts: a full one becomes the older one, and parts that are met again move on.
     Texts with unusual characters, loose blanks or the strings of special tokens, and every text
     of another layout, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 125_000):
         with open(path, encoding="utf-8") as f:
             self.tokenizer = Tokenizer.from_str(f.read())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.keep, self.known = self.tokenizer.model, keep, {}
+        self.model, self.keep, self.known, self.older = self.tokenizer.model, keep, {}, {}
         told = json.loads(self.tokenizer.to_str())
         self.size = self.tokenizer.get_vocab_size()
         norm = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
@@ -108,6 +109,8 @@ class Encoder:
         """Ids of a part that starts and ends at certain cuts."""
         known = self.known
         ids = known.get(text)
+        if ids is None:
+            ids = self.older.get(text)
         if ids is None:
             # a blank and letters are one piece in either layout
             if text.lstrip(" ").isalpha():
@@ -117,13 +120,20 @@ class Encoder:
                 for piece in self.pattern.findall(text):
                     own = known.get(piece)
                     if own is None:
-                        own = known[piece] = self.piece(piece)
+                        own = known[piece] = self.older.get(piece) or self.piece(piece)
                     ids += own
-            known[text] = ids
+        known[text] = ids
         return ids
 
+    def all_parts(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct parts; those of this generation are looked up in one go."""
+        out = list(map(self.known.get, texts))
+        return [self.part(text) if ids is None else ids for text, ids in zip(texts, out)]
+
     def piece(self, text: str) -> tuple[int, ...]:
-        return tuple([t.id for t in self.model.tokenize(letters(text))])
+        # letters of ASCII stand for themselves
+        plain = text.isascii() and text.isalpha()
+        return tuple([t.id for t in self.model.tokenize(text if plain else letters(text))])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; NULL counts as empty."""
@@ -131,11 +141,11 @@ class Encoder:
         if self.layout is None:
             return [self.whole(t) for t in texts.to_pylist()]
         if len(self.known) > self.keep:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         odd = pc.match_substring_regex(texts, ODD if self.layout == "words" else f"{ODD}|{LOOSE_BLANK}")
         easy = texts.filter(pc.invert(odd))
         if self.layout == "words":
-            done = by_parts(easy, pc.ascii_split_whitespace(pc.utf8_lower(easy)), lambda parts: csr([self.part(p) for p in parts]))
+            done = by_parts(easy, pc.ascii_split_whitespace(pc.utf8_lower(easy)), lambda parts: csr(self.all_parts(parts)))
         else:
             done = self._bytes(easy)
         out, hard = iter(done), iter(texts.filter(odd).to_pylist())
