@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewise.llm.common import fresh, held_out, table
+from framewise.llm.tokens import slices
 
 UNDETERMINED = "und"
 START = "▁"
@@ -214,9 +215,9 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 
 def predictor(model: Model, text: int, carried: list[int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = predict(batch.column(text), model)
-            columns = [batch.column(i) for i in carried]
+        for some in (x for batch in batches for x in slices(batch, text, 1 << 22)):
+            langs, scores = predict(some.column(text), model)
+            columns = [some.column(i) for i in carried]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
 
     return run

@@ -366,12 +366,16 @@ def encoder(path: str, name: str, text: int, carried: list[int], names: list[str
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon_name: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, lexicon_name: str, text_col: str = "text", carry: list[str] | None = None,
+    then=None, result: str | None = None,
+) -> DataFrame:
     """Append ``ids`` (under another name if taken) to the columns ``carry``.
 
     The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False).ids`` without
     truncation and padding, whatever the lexicon holds: special tokens are cut out first, the text
     is normalised and split into words, and a word's ids come from the transducer or from merging.
+    ``then`` maps these batches further inside the same task; ``result`` is its schema.
 
     Defined cases: NULL text is empty and has no ids; texts of any length are encoded whole.
     """
@@ -381,7 +385,8 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_name: str, text_col: str = "
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias(text))
     n = len(carry)
-    return source.mapInArrow(encoder(tokenizer, lexicon_name, n, list(range(n)), schema.names), schema)
+    run = encoder(tokenizer, lexicon_name, n, list(range(n)), schema.names)
+    return source.mapInArrow((lambda batches: then(run(batches))) if then else run, result or schema)
 
 
 def decode_ids(ids: np.ndarray, tables: Merges) -> str:
@@ -424,5 +429,5 @@ def digests(path: str):
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = encode(docs, path, build_lexicon(docs, path), carry=["doc_id"])
-    return ids.mapInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode(docs, path, build_lexicon(docs, path), carry=["doc_id"], then=digests(path), result=schema)

@@ -243,6 +243,8 @@ def pack(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    then=None,
+    schema: str = PIECES,
 ) -> DataFrame:
     """Pack the ids of all documents, each ended by ``end_id``, into sequences of ``window`` ids.
 
@@ -251,17 +253,18 @@ def pack(
     length are numbered by sums over parts of the table (windows inside a part, one row a part and
     length across parts), and the number finds the item's places in the plan.  Returns a row a
     piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``; all sequences but the
-    last are full.
+    last are full.  ``then`` maps these batches further inside the same task; ``schema`` is that of
+    its result.
 
     Defined cases: NULL text is empty and still gives its end id; rows without id and rows that
     repeat an id are packed like others; an empty table gives no piece.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "part long, row long, doc_id long, n long, ids binary"
+    stored = "part long, row long, doc_id long, n long, ids binary"
     path = shared_path(spark, "ids")
-    rows.mapInArrow(tokenize(tokenizer, end_id), schema).write.option("compression", "zstd").parquet(path)
-    tokens = spark.read.schema(schema).parquet(path)
+    rows.mapInArrow(tokenize(tokenizer, end_id), stored).write.option("compression", "zstd").parquet(path)
+    tokens = spark.read.schema(stored).parquet(path)
     sizes = tokens.select(
         "part", "row", (F.col("n") % window).alias("rest"), F.floor(F.col("n") / window).alias("whole")
     )
@@ -292,10 +295,11 @@ def pack(
         *[(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")],
         ("ids", pa.list_(pa.int32())),
     ])
+    cut = cutter(plan, window, whole, item_schema)
     return (
         tokens.join(numbered, ["part", "row"])
         .select("doc_id", "n", "full", "rank", "ids")
-        .mapInArrow(cutter(plan, window, whole, item_schema), PIECES)
+        .mapInArrow((lambda batches: then(cut(batches))) if then else cut, schema)
     )
 
 
@@ -315,4 +319,4 @@ DIGESTS = (
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(docs, path, window=1024, end_id=0).mapInArrow(crc_pieces, DIGESTS)
+    return pack(docs, path, window=1024, end_id=0, then=crc_pieces, schema=DIGESTS)
