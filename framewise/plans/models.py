@@ -230,10 +230,21 @@ def _reml(theta: float, parts: dict) -> tuple[float, np.ndarray, np.ndarray, flo
 
 
 def _best_theta(parts: dict) -> float:
-    """Minimise the restricted deviance over theta >= 0 (scan, then golden section)."""
-    logs = np.linspace(-12.0, 8.0, 81)
-    values = [_reml(np.exp(s), parts)[0] for s in logs]
-    at = int(np.argmin(values))
+    """Minimise the restricted deviance over theta >= 0 (scan, then golden section).
+
+    The scan widens while its least value is at an end; theta = 0 is compared on its own.
+    """
+    first, last = -12.0, 8.0
+    while True:
+        logs = np.arange(first, last + 0.125, 0.25)
+        values = [_reml(np.exp(s), parts)[0] for s in logs]
+        at = int(np.argmin(values))
+        if at == len(logs) - 1 and last < 100.0:
+            last += 8.0
+        elif at == 0 and first > -60.0:
+            first -= 8.0
+        else:
+            break
     low, high = logs[max(at - 1, 0)], logs[min(at + 1, len(logs) - 1)]
     golden = (np.sqrt(5.0) - 1.0) / 2.0
     for _ in range(80):
@@ -254,7 +265,7 @@ def random_intercept_fit(
     Two aggregations: sums per subject, then sums over all subjects with the same number
     of rows.  The likelihood depends on the data only through that second table, whose
     length per family is the number of different subject sizes (at most about the square
-    root of twice the row count).
+    root of twice the row count).  A family without residual degrees of freedom has no estimate.
     """
     k, names = len(terms), list(terms)
     rows = _design(df, [family, subject], y, terms)
@@ -290,8 +301,12 @@ def random_intercept_fit(
             "sxy": sizes[[f"_sxy{i}" for i in kept]].to_numpy(),
             "syy": sizes["_syy"].to_numpy(),
         }
-        theta = _best_theta(parts)
-        _, beta, cov, sigma2 = _reml(theta, parts)
+        if sums["_n"] > len(kept):
+            theta = _best_theta(parts)
+            _, beta, cov, sigma2 = _reml(theta, parts)
+        else:
+            theta = sigma2 = np.nan
+            beta, cov = np.full(len(kept), np.nan), np.full((len(kept), len(kept)), np.nan)
         row = _fit_row(names, kept, beta, cov, sums["_n"], sigma2, theta * sigma2, xx)
         return pd.DataFrame([{family: sizes[family].iloc[0], **row}])
 

@@ -159,3 +159,27 @@ def test_category_model_rows(make, values):
     out = models.category_model_rows(frame, Domain(sites=SITES, categories=("C", "S")))
     assert values(out, "model", "category", "target") == [("C", "C", 1.0), ("C", "S", 0.0), ("S", "C", 0.0), ("S", "S", 1.0)]
     assert out.agg(F.sum("target")).first()[0] == 2.0
+
+
+def test_random_intercept_without_residual_degrees_has_no_estimate(spark):
+    rows = [r for r in data(3) if r[2] < 4]
+    firsts = list({r[2]: r for r in rows}.values())
+    fit = models.random_intercept_fit(spark.createDataFrame(firsts, DDL), "y", models.site_by("age", SITES), "model")
+    got = coef(fit, normal=True)
+    assert len(got) == 4 and all(r["estimate"] is None and r["std_error"] is None for r in got.values())
+
+
+def test_variance_ratio_beyond_the_first_scan():
+    """Subjects far apart with hardly any noise inside: the optimum lies above e^8."""
+    rng = np.random.default_rng(4)
+    m, n = 40, 5
+    y = rng.normal(0, 1000, m)[:, None] + rng.normal(0, 1, (m, n))
+    sums = y.sum(1)
+    parts = {
+        "size": np.array([float(n)]), "count": np.array([float(m)]), "n": float(m * n),
+        "xx": np.array([[float(m * n)]]), "xy": np.array([y.sum()]), "yy": float((y * y).sum()),
+        "sxx": np.array([[[float(m * n * n)]]]), "sxy": np.array([[n * sums.sum()]]), "syy": np.array([(sums * sums).sum()]),
+    }
+    inside = ((y - y.mean(1, keepdims=True)) ** 2).sum() / (m * (n - 1))
+    between = n * y.mean(1).var(ddof=1)
+    assert models._best_theta(parts) == pytest.approx((between / inside - 1) / n, rel=1e-4)
