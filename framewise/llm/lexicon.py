@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import fresh, table
+from framewise.llm.common import fresh, stored, table
 from framewise.llm.tokens import BYTE_LETTERS, ODD, csr, gather, slices
 
 # White space of Unicode, written out so that the pattern means the same in every library.
@@ -318,14 +318,21 @@ def lexicon(name: str) -> Lexicon:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = 1 << 16) -> str:
-    """Compile the most frequent ``words`` words of all documents; the name of the file on executors.
+    """Compile at most ``words`` of the most frequent words of all documents; the name of the file on executors.
 
-    Words are counted over the whole corpus.  The file's size is bounded by ``words``, which only
-    decides how many words need no merging, never what their ids are; Spark ships it to executors.
+    Words are counted over the whole corpus.  A histogram of their counts, with 16 levels an octave,
+    tells the lowest level down to which no more than ``words`` words lie, and only these words
+    reach the driver.  The file's size is bounded by ``words``, which only decides how many words
+    need no merging, never what their ids are; Spark ships it to executors.
     """
     spark = docs.sparkSession
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count_words(tokenizer), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count_words(tokenizer), "word string, n long")
+    summed = found.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stored(summed.withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "words")
+    sizes = sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True)  # at most 16 * 63 levels
+    ends = np.cumsum([n for _, n in sizes])
+    levels = [level for (level, _), end in zip(sizes, ends) if end <= words]
+    top = counted.where(F.col("level") >= levels[-1]).select("word").collect() if levels else []
     body = lexicon_bytes([r.word for r in top], merges(tokenizer))
     name = f"lexicon-{uuid.uuid4().hex}"  # a session takes each file name once
     path = os.path.join(tempfile.mkdtemp(prefix="framewise-"), name)
