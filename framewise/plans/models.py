@@ -131,6 +131,19 @@ def _products(k: int) -> dict[str, Column]:
     return sums
 
 
+def _moments(k: int) -> dict[str, Column]:
+    """Means and centred sums of products of the design columns after the constant.
+
+    Covariances are merged around the means, so large means do not cancel digits.
+    """
+    x, y, n = [F.col(f"_x{i}") for i in range(1, k)], F.col("_y"), F.count(F.lit(1)).cast("double")
+    sums = {f"_m{i}": F.avg(c) for i, c in enumerate(x)}
+    sums.update({f"_xx{i}_{j}": n * F.covar_pop(x[i], x[j]) for i in range(k - 1) for j in range(i, k - 1)})
+    sums.update({f"_xy{i}": n * F.covar_pop(c, y) for i, c in enumerate(x)})
+    sums.update({"_my": F.avg(y), "_yy": n * F.var_pop(y), "_n": n})
+    return sums
+
+
 def _named(sums: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in sums.items()]
 
@@ -160,13 +173,11 @@ def _usable(xx: np.ndarray) -> list[int]:
     return kept
 
 
-def _inflation(xx: np.ndarray) -> np.ndarray:
-    """Variance inflation per term (first column is the constant): diagonal of the
-    inverse correlation matrix of the predictors."""
-    n = xx[0, 0]
-    cov = xx[1:, 1:] - np.outer(xx[0, 1:], xx[0, 1:]) / n
-    sd = np.sqrt(np.diag(cov))
-    return np.concatenate([[np.nan], np.diag(np.linalg.inv(cov / np.outer(sd, sd)))])
+def _inflation(centred: np.ndarray) -> np.ndarray:
+    """Variance inflation per term (the constant has none): diagonal of the inverse
+    correlation matrix of the predictors, from their centred sums of products."""
+    sd = np.sqrt(np.diag(centred))
+    return np.concatenate([[np.nan], np.diag(np.linalg.inv(centred / np.outer(sd, sd)))])
 
 
 def _spread_out(kept: list[int], k: int, values: np.ndarray) -> np.ndarray:
@@ -175,7 +186,7 @@ def _spread_out(kept: list[int], k: int, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit_row(names, kept, beta, cov, n, sigma2, tau2, xx) -> dict:
+def _fit_row(names, kept, beta, cov, n, sigma2, tau2, centred) -> dict:
     k = len(names)
     full = len(kept) == k
     return {
@@ -186,26 +197,31 @@ def _fit_row(names, kept, beta, cov, n, sigma2, tau2, xx) -> dict:
         "df": n - len(kept),
         "sigma2": sigma2,
         "tau2": tau2,
-        "vif": (_inflation(xx) if full and k > 2 else np.full(k, np.nan)).tolist(),
+        "vif": (_inflation(centred) if full and k > 2 else np.full(k, np.nan)).tolist(),
     }
 
 
 def linear_fit(df: DataFrame, y: str, terms: dict[str, Column], family: str) -> DataFrame:
-    """Least squares per family: one pass to the normal equations, solved per summary row."""
+    """Least squares per family: one pass to means and centred sums of products, solved per
+    summary row.  The first term is the constant."""
     k, names = len(terms), list(terms)
-    sums = _design(df, [family], y, terms).groupBy(family).agg(*_named(_products(k)))
+    sums = _design(df, [family], y, terms).groupBy(family).agg(*_named(_moments(k)))
 
     def solve(batches):
         for batch in batches:
             rows = []
-            for (_, r), xx in zip(batch.iterrows(), _matrices(batch, k)):
-                kept = _usable(xx)
-                xy = np.array([r[f"_xy{i}"] for i in kept])
-                inverse = np.linalg.inv(xx[np.ix_(kept, kept)])
-                beta = inverse @ xy
-                free = r["_n"] - len(kept)
-                sigma2 = max(r["_yy"] - beta @ xy, 0.0) / free if free > 0 else np.nan
-                fit = _fit_row(names, kept, beta, sigma2 * inverse, r["_n"], sigma2, 0.0, xx)
+            for (_, r), xx in zip(batch.iterrows(), _matrices(batch, k - 1)):
+                kept, n = _usable(xx), r["_n"]
+                mean, xy = (np.array([r[f"{name}{i}"] for i in kept], float) for name in ("_m", "_xy"))
+                square = xx[np.ix_(kept, kept)]
+                scale = np.sqrt(np.outer(np.diag(square), np.diag(square)))
+                inverse = np.linalg.inv(square / scale) / scale
+                slope, shift = inverse @ xy, inverse @ mean
+                free = n - len(kept) - 1
+                sigma2 = max(r["_yy"] - slope @ xy, 0.0) / free if free > 0 else np.nan
+                beta = np.concatenate([[r["_my"] - mean @ slope], slope])
+                cov = np.block([[np.array([[1 / n + mean @ shift]]), -shift[None]], [-shift[:, None], inverse]])
+                fit = _fit_row(names, [0, *[i + 1 for i in kept]], beta, sigma2 * cov, n, sigma2, 0.0, xx)
                 rows.append({family: r[family], **fit})
             yield pd.DataFrame(rows, columns=[family, *[c.split()[0] for c in FIT.split(", ")]])
 
@@ -307,7 +323,8 @@ def random_intercept_fit(
         else:
             theta = sigma2 = np.nan
             beta, cov = np.full(len(kept), np.nan), np.full((len(kept), len(kept)), np.nan)
-        row = _fit_row(names, kept, beta, cov, sums["_n"], sigma2, theta * sigma2, xx)
+        centred = xx[1:, 1:] - np.outer(xx[0, 1:], xx[0, 1:]) / xx[0, 0]
+        row = _fit_row(names, kept, beta, cov, sums["_n"], sigma2, theta * sigma2, centred)
         return pd.DataFrame([{family: sizes[family].iloc[0], **row}])
 
     kind = by_size.schema[family].dataType.simpleString()

@@ -52,6 +52,21 @@ def test_least_squares_against_dense_algebra(spark):
         assert got[name]["vif"] == pytest.approx(np.linalg.inv(corr)[i, i], rel=1e-7)
 
 
+@pytest.mark.parametrize("far", [1e4, 1e6])
+def test_least_squares_far_from_zero(spark, far):
+    rows = data(1)
+    terms = {"(intercept)": F.lit(1.0), "age": F.col("age"), "n_frames": F.col("n_frames")}
+    near = spark.createDataFrame(rows, DDL)
+    moved = near.withColumns({"age": F.col("age") + far, "y": F.col("y") + far})
+    want, got = (coef(models.linear_fit(df, "y", terms, "model")) for df in (near, moved))
+    for name in ("age", "n_frames"):
+        for field in ("estimate", "std_error", "p_value", "vif"):
+            assert got[name][field] == pytest.approx(want[name][field], rel=1e-6, abs=1e-12)
+    x = np.column_stack([np.ones(len(rows)), [r[3] for r in rows], [r[4] for r in rows]])
+    beta = np.linalg.lstsq(x, np.array([r[5] for r in rows]), rcond=None)[0]
+    assert got["(intercept)"]["estimate"] == pytest.approx(beta[0] + far - beta[1] * far, rel=1e-9)
+
+
 def test_dependent_columns_get_no_estimate(spark):
     rows = [r for r in data(2) if r[1] == "T"]
     got = coef(models.linear_fit(spark.createDataFrame(rows, DDL), "y", models.site_by("age", SITES), "model"))
