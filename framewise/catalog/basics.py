@@ -81,10 +81,10 @@ DICT_SQL = """dict AS (SELECT DISTINCT segment, coalesce(lower(segment), 'none')
 
 
 def _full_null(s, d):
-    """Counts by segment on both sides of a full join, with gaps on either side."""
-    left = _segments(s, d).where("segment is null or segment <> 'MACHINERY'")
+    """Counts by segment on both sides of a full join; a renamed key leaves gaps on either side."""
+    left = _segments(s, d).replace("MACHINERY", "MACHINES", "segment")
     left = left.groupBy("segment").agg(F.count(F.lit(1)).alias("n_left"))
-    right = _segments(s, d).where("segment is null or segment <> 'BUILDING'")
+    right = _segments(s, d).replace("BUILDING", "BUILDINGS", "segment")
     right = right.groupBy("segment").agg(F.count(F.lit(1)).alias("n_right"))
     return joins.null_safe_join(left, right, ["segment"], "full").select(
         "segment", F.col("n_left").cast("double"), F.col("n_right").cast("double")
@@ -150,7 +150,7 @@ def _complete(s, d):
 
 def _pivot(s, d):
     rows = obs_orders(s, d).groupBy("category", "site").agg(F.count_distinct("subject").alias("n"))
-    rows = rows.where("not (category = 'hot' and site = 'ASIA')")
+    rows = rows.withColumn("site", F.expr("nullif(site, if(category = 'hot', 'ASIA', ''))"))
     wide = reshape.widen(rows, ["category"], "site", ["ASIA", "EUROPE"], F.first("n"))
     return reshape.map_columns(wide, ["ASIA", "EUROPE"], lambda c: c.cast("double"))
 
@@ -225,21 +225,20 @@ LEFT JOIN dict ON seg.segment IS NOT DISTINCT FROM dict.segment""",
     "full_join_nullsafe": query(
         _full_null,
         with_ctes(NULL_SQL) + """SELECT coalesce(l.segment, r.segment) AS segment, CAST(n_left AS DOUBLE) AS n_left, CAST(n_right AS DOUBLE) AS n_right
-FROM (SELECT segment, count(*) AS n_left FROM seg WHERE segment IS NULL OR segment <> 'MACHINERY' GROUP BY segment) l
-FULL JOIN (SELECT segment, count(*) AS n_right FROM seg WHERE segment IS NULL OR segment <> 'BUILDING' GROUP BY segment) r
+FROM (SELECT replace(segment, 'MACHINERY', 'MACHINES') AS segment, count(*) AS n_left FROM seg GROUP BY 1) l
+FULL JOIN (SELECT replace(segment, 'BUILDING', 'BUILDINGS') AS segment, count(*) AS n_right FROM seg GROUP BY 1) r
 ON l.segment IS NOT DISTINCT FROM r.segment""",
     ),
     "natural_full_join": query(
         lambda s, d: joins.natural_full_join(
-            table(s, d, "nation").select("n_nationkey", "n_name").where("n_nationkey > 3"),
+            table(s, d, "nation").select((F.col("n_nationkey") + 4).cast("long").alias("n_nationkey"), "n_name"),
             table(s, d, "customer")
-            .where("c_nationkey < 20")
-            .groupBy(F.col("c_nationkey").alias("n_nationkey"))
+            .groupBy(F.col("c_nationkey").cast("long").alias("n_nationkey"))
             .agg(F.avg("c_acctbal").alias("balance")),
         ),
         """SELECT CAST(coalesce(n.n_nationkey, c.k) AS BIGINT) AS n_nationkey, n_name, round(balance, 6) AS balance
-FROM (SELECT * FROM nation WHERE n_nationkey > 3) n
-FULL JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS balance FROM customer WHERE c_nationkey < 20 GROUP BY 1) c ON n_nationkey = k""",
+FROM (SELECT n_nationkey + 4 AS n_nationkey, n_name FROM nation) n
+FULL JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS balance FROM customer GROUP BY 1) c ON n_nationkey = k""",
         6,
     ),
     "unpivot": query(
@@ -325,10 +324,10 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 FROM (SELECT o_orderpriority, date_diff('day', DATE '1990-01-01', o_orderdate) AS day, count(*) AS n FROM orders GROUP BY ALL)""",
     ),
     "intersect_items": query(
-        lambda s, d: obs_orders(s, d).where("site = 'ASIA' and age < 10").select("item", "age")
-        .intersect(obs_orders(s, d).where("site <> 'ASIA' or age < 10").where("frame % 3 = 0").select("item", "age")),
-        with_ctes(OBS_ORDERS) + """SELECT item, age FROM obs WHERE site = 'ASIA' AND age < 10
-INTERSECT SELECT item, age FROM obs WHERE (site <> 'ASIA' OR age < 10) AND frame % 3 = 0""",
+        lambda s, d: obs_orders(s, d).select("item", "age")
+        .intersect(obs_orders(s, d).select("item", (F.col("age") + 7).cast("long").alias("age"))),
+        with_ctes(OBS_ORDERS) + """SELECT item, CAST(age AS BIGINT) AS age FROM obs
+INTERSECT SELECT item, age + 7 FROM obs""",
     ),
     "sorted_by_level": query(
         lambda s, d: ordered.rank_rows(

@@ -100,12 +100,6 @@ BY_REACH = "SELECT site, category, item, count(DISTINCT subject) AS score FROM k
 KEPT_EXPOSURE = EXPOSURE.replace("FROM obs", "FROM kept")
 
 
-def _two_sites(spark, folder):
-    return obs_orders(spark, folder).where(F.col("site").isin(*ORDERS_DOMAIN.sites))
-
-
-TWO = "two AS (SELECT * FROM obs WHERE site IN ('ASIA', 'EUROPE'))"
-
 QUERIES = {
     "item_reach": query(
         lambda s, d: rank.item_reach(obs_orders(s, d)),
@@ -197,11 +191,11 @@ SELECT * FROM panel WHERE subject IN (
         + "SELECT * FROM tops",
     ),
     "category_table": query(
-        lambda s, d: rank.category_table(_two_sites(s, d), ORDERS_DOMAIN),
-        with_ctes(OBS_ORDERS, KEPT, TWO, _top3_sql(BY_REACH)) + f"""
+        lambda s, d: rank.category_table(obs_orders(s, d), ORDERS_DOMAIN),
+        with_ctes(OBS_ORDERS, KEPT, _top3_sql(BY_REACH)) + f"""
 SELECT c.*, "ASIA" AS "top_ASIA", "EUROPE" AS "top_EUROPE", {_labels(ORDERS_DOMAIN.labels).replace('category', 'c.category')} AS label
 FROM (SELECT category, count(DISTINCT CASE WHEN site = 'ASIA' THEN item END) AS "n_ASIA",
-        count(DISTINCT CASE WHEN site = 'EUROPE' THEN item END) AS "n_EUROPE" FROM two GROUP BY category) c
+        count(DISTINCT CASE WHEN site = 'EUROPE' THEN item END) AS "n_EUROPE" FROM obs GROUP BY category) c
 JOIN tops ON tops.category = c.category""",
     ),
     "uncommon_items": query(

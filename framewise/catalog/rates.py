@@ -166,9 +166,9 @@ QUERIES = {
     ),
     "hour_scaffold": query(
         lambda s, d: rates.hour_scaffold(
-            event_hours(s, d), event_people(s, d), obs_events(s, d, "hour").where("subject % 5 <> 0")
+            event_hours(s, d), event_people(s, d), obs_events(s, d, "hour")
         ).withColumn("hour", F.col("hour").cast("double")),
-        with_ctes(EV_HOUR, SCAFFOLD.replace("SELECT subject FROM obs", "SELECT subject FROM obs WHERE subject % 5 <> 0"))
+        with_ctes(EV_HOUR, SCAFFOLD)
         + "SELECT site, subject, age, CAST(hour AS DOUBLE) AS hour FROM scaffold",
     ),
     "hour_scaffold_categories": query(
