@@ -11,7 +11,6 @@ from framewise.sources.bindings import (
     obs_events,
     obs_orders,
 )
-from pyspark.sql import functions as F
 
 REACH = """reach AS (
   SELECT o.site, item, category, count(DISTINCT subject) AS n_subjects, any_value(n_all) AS n_all,
