@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark import SparkFiles
 from tokenizers import Tokenizer
 
 from framewise.llm.lexicon import Automaton, Lexicon, build_lexicon, compile_words, decode, encode, encode_batch, lexicon_bytes, merges, op3_bpe
@@ -70,3 +71,9 @@ def test_encode_decode_edge_rows(spark):
         assert r["_ids"] == want and r.decoded == tokenizer.decode(want, skip_special_tokens=False)
     none = docs.limit(0)
     assert encode(none, PATH, build_lexicon(none, PATH)).count() == 0
+
+
+def test_lexicon_takes_whole_levels_of_frequent_words(spark):
+    docs = spark.createDataFrame([("cat " * 9 + "dog " * 9 + "owl " * 4 + "elk elk bee",)], "text string")
+    for words, want in [(1, 0), (2, 2), (3, 3), (4, 4), (9, 5)]:
+        assert len(Lexicon(SparkFiles.get(build_lexicon(docs, PATH, words=words))).starts) == want
