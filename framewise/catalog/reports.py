@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from framewise.catalog.common import EV_DAY, EV_HOUR, OBS_ORDERS, query, with_ctes
 from framewise.plans import agree, report
 from framewise.sources import bindings as b
@@ -47,6 +49,13 @@ def _codings(s, d):
     return b.first_coding(s, d), b.second_coding(s, d)
 
 
+def _lost_fact(s, d):
+    """All rows of the fact; every frame of each seventh subject is excluded."""
+    lost = F.col("subject") % 7 == 0
+    fact = b.events_fact(s, d, "day").withColumn("reason", F.when(lost, "Exclude").otherwise(F.col("reason")))
+    return fact.withColumns({c: F.when(~lost, F.col(c)) for c in ("category", "item")}).distinct()
+
+
 DAILY = "per AS (SELECT site, subject, count(DISTINCT item) AS n FROM obs GROUP BY ALL)"
 SHARES = """shares AS (
   SELECT s.site, s.subject, c.category, count(o.category) / CAST(any_value(n_frames) AS DOUBLE) AS y
@@ -105,6 +114,16 @@ SELECT subject, n_excluded, n_frames FROM (
   SELECT subject, count(*) FILTER ((subject, frame) IN (SELECT (subject, frame) FROM bad)) AS n_excluded,
     count(DISTINCT frame) AS n_frames FROM part_fact GROUP BY subject) WHERE n_excluded = n_frames""",
     ),
+    "unusable_subjects_whole": query(
+        lambda s, d: report.unusable_subjects(_lost_fact(s, d)),
+        with_ctes(EV_DAY) + """, whole AS (
+  SELECT DISTINCT subject, frame, CASE WHEN subject % 7 = 0 THEN 'Exclude' ELSE reason END AS reason,
+    CASE WHEN subject % 7 <> 0 THEN category END AS category, CASE WHEN subject % 7 <> 0 THEN item END AS item FROM fact),
+bad AS (SELECT DISTINCT subject, frame FROM whole WHERE reason IS NOT NULL)
+SELECT subject, n_excluded, n_frames FROM (
+  SELECT subject, count(*) FILTER ((subject, frame) IN (SELECT (subject, frame) FROM bad)) AS n_excluded,
+    count(DISTINCT frame) AS n_frames FROM whole GROUP BY subject) WHERE n_excluded = n_frames""",
+    ),
     "wearer_share": query(
         lambda s, d: report.wearer_share(b.events_fact(s, d, "day")),
         with_ctes(EV_DAY) + """SELECT site, caregiver, child, round(caregiver / CAST(caregiver + child AS DOUBLE), 9) AS prop FROM (
