@@ -10,6 +10,7 @@ from framewise.llm.order_minhash import op7_order_minhash
 from framewise.llm.packing import op5_packing
 from framewise.llm.secret_ledger import OP12_SQL, op12_secret_ledger
 from framewise.llm.simhash import op4_simhash
+from framewise.llm.spelling import OP11_SQL, op11_spelling
 from framewise.llm.token_files import op2_token_files
 from framewise.llm.warc import OP9_SQL, op9_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_maxscore": op10_maxscore,
+    "op11_spelling": op11_spelling,
     "op12_secret_ledger": op12_secret_ledger,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -32,6 +34,7 @@ SQL = {
     "op1_line_dedup": OP1_SQL,
     "op9_warc": OP9_SQL,
     "op10_maxscore": OP10_SQL,
+    "op11_spelling": OP11_SQL,
     "op12_secret_ledger": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
