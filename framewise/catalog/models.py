@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewise.catalog.common import EV_DAY, OBS_ORDERS, query, with_ctes
+from framewise.catalog.common import EV_DAY, EV_HOUR, OBS_ORDERS, query, with_ctes
+from framewise.catalog.rates import CATEGORIES, STEPS as MOVE_STEPS
 from framewise.catalog.reports import DAILY, SHARES
 from framewise.operators.ordered import holm
 from framewise.plans import models, rates, report
@@ -184,6 +185,108 @@ def _age_predict(s, d):
     return models.predict(models.random_intercept_fit(rows, "y", terms, "model"), grid, terms, "model")
 
 
+# Random intercepts: y ~ site * x splits into one weighted regression per site with a common
+# variance ratio, as every subject belongs to one site.  The derivative of the restricted
+# likelihood by the ratio is read on a grid of its logarithm, which is zoomed eight times.
+ZOOMS = 8
+
+
+def _reml_level(i: int, grid: str) -> list[str]:
+    return [
+        f"grid{i} AS MATERIALIZED ({grid})",
+        f"""mean{i} AS MATERIALIZED (
+  SELECT model, s, site, sum(n / (1 + n * exp(s))) AS sw, sum(n / (1 + n * exp(s)) * mx) / sum(n / (1 + n * exp(s))) AS xb,
+    sum(n / (1 + n * exp(s)) * my) / sum(n / (1 + n * exp(s))) AS yb FROM grid{i} JOIN subj USING (model) GROUP BY ALL)""",
+        f"""cross{i} AS MATERIALIZED (
+  SELECT model, s, site, any_value(sw) AS sw, any_value(xb) AS xb, any_value(yb) AS yb,
+    sum(cxx + n / (1 + n * exp(s)) * (mx - xb) ** 2) AS dxx, sum(cxy + n / (1 + n * exp(s)) * (mx - xb) * (my - yb)) AS dxy,
+    sum(cyy + n / (1 + n * exp(s)) * (my - yb) ** 2) AS dyy FROM mean{i} JOIN subj USING (model, site) GROUP BY ALL)""",
+        f"""rest{i} AS MATERIALIZED (
+  SELECT model, s, sum(dyy - dxy * dxy / dxx) AS rss, sum(ln(sw) + ln(dxx)) AS logdet FROM cross{i} GROUP BY ALL)""",
+        f"""level{i} AS MATERIALIZED (
+  SELECT model, s, any_value((total - 4) * ln(rss) + logdet) + sum(ln(1 + n * exp(s))) AS deviance,
+    sum(n / (1 + n * exp(s)) - (n / (1 + n * exp(s))) ** 2 * ((total - 4) / rss * ((my - yb) - dxy / dxx * (mx - xb)) ** 2
+      + 1 / sw + (mx - xb) ** 2 / dxx)) AS slope
+  FROM cross{i} JOIN rest{i} USING (model, s) JOIN subj USING (model, site) JOIN sizes USING (model) GROUP BY ALL)""",
+    ]
+
+
+def _reml_sql() -> str:
+    parts = [
+        """subj AS MATERIALIZED (
+  SELECT model, site, subject, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mx, avg(y) AS my,
+    regr_sxx(y, x) AS cxx, regr_sxy(y, x) AS cxy, regr_syy(y, x) AS cyy FROM v GROUP BY ALL)""",
+        "sizes AS MATERIALIZED (SELECT model, sum(n) AS total FROM subj GROUP BY model)",
+        *_reml_level(0, "SELECT model, s FROM sizes, (SELECT -800.0 AS s UNION ALL SELECT i * 0.25 FROM range(-48, 33) r(i))"),
+        "found0 AS MATERIALIZED (SELECT model, arg_min(s, deviance) - 0.25 AS lo, 0.5 AS width FROM level0 GROUP BY model)",
+    ]
+    for i in range(1, ZOOMS + 1):
+        parts += _reml_level(i, f"SELECT model, lo + width * k / 20 AS s, lo, width FROM found{i - 1}, range(0, 21) r(k)")
+        parts.append(
+            f"""found{i} AS MATERIALIZED (
+  SELECT model, coalesce(max(s) FILTER (slope < 0), min(s)) AS lo, any_value(width) / 20 AS width
+  FROM level{i} JOIN found{i - 1} USING (model) GROUP BY model)"""
+        )
+    last = ZOOMS + 1
+    parts += _reml_level(last, f"SELECT model, lo + width / 2 AS s FROM found{ZOOMS}")
+    parts.append(
+        f"""sided AS (
+  SELECT model, site, dxy / dxx AS b, yb - dxy / dxx * xb AS a, rss / (total - 4) AS s2, xb, sw, dxx,
+    1 / sw + xb * xb / dxx AS va, 1 / dxx AS vb
+  FROM cross{last} JOIN rest{last} USING (model, s) JOIN sizes USING (model))"""
+    )
+    return ",\n".join(parts)
+
+
+def _reml_terms(sites: tuple[str, str], name: str) -> str:
+    return f"""pair AS (
+  SELECT p.model, p.a AS a0, q.a - p.a AS da, p.b AS b0, q.b - p.b AS db, p.va * p.s2 AS va, (p.va + q.va) * p.s2 AS vda,
+    p.vb * p.s2 AS vb, (p.vb + q.vb) * p.s2 AS vdb
+  FROM sided p JOIN sided q USING (model) WHERE p.site = '{sites[0]}' AND q.site = '{sites[1]}'),
+terms AS (
+  SELECT model, 1 AS position, '(intercept)' AS term, a0 AS est, sqrt(va) AS se FROM pair
+  UNION ALL SELECT model, 2, 'site', da, sqrt(vda) FROM pair
+  UNION ALL SELECT model, 3, '{name}', b0, sqrt(vb) FROM pair
+  UNION ALL SELECT model, 4, 'site:{name}', db, sqrt(vdb) FROM pair),
+tested AS (SELECT *, {z_p('est / se')} AS p FROM terms)"""
+
+
+# Distinct items per subject, hour and category against a 0/1 mark of each category in turn.
+CATEGORY_ROWS = """v AS (
+  SELECT m.category AS model, site, subject, CAST(c.category = m.category AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (
+    SELECT site, subject, hour, category, count(DISTINCT item) AS y FROM obs GROUP BY ALL) c, categories m)"""
+
+
+def _age_rows() -> str:
+    """The four hourly measures stacked."""
+    moved = [
+        ("item_transitions", "item", "site, subject, age, hour"),
+        ("category_transitions", "category", "subject, hour"),
+    ]
+    parts = []
+    for name, column, keys in moved:
+        steps = MOVE_STEPS.format(col=column)
+        for cte in ("frames", "steps", "moves"):
+            steps = steps.replace(f"{cte} AS (", f"{cte}_{column} AS (").replace(f"FROM {cte}", f"FROM {cte}_{column}")
+        parts.append(steps)
+    stacked = [
+        f"SELECT '{name}_per_hour' AS model, site, subject, age, count(DISTINCT {column}) AS y FROM obs GROUP BY site, subject, age, hour"
+        for name, column in (("items", "item"), ("categories", "category"))
+    ]
+    stacked += [
+        f"""SELECT '{name}', m.site, m.subject, m.age, n_transitions / CAST(n_values AS DOUBLE) FROM moves_{column} m JOIN (
+    SELECT {keys}, count(DISTINCT {column}) AS n_values FROM obs GROUP BY ALL) d USING ({keys}) WHERE n_transitions > 0"""
+        for name, column, keys in moved
+    ]
+    rows = " UNION ALL ".join(stacked)
+    return ",\n".join([*parts, f"v AS (SELECT model, site, subject, CAST(age AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM ({rows}))"])
+
+
+CATEGORY_FIT = (EV_HOUR, CATEGORIES, POINTS, CATEGORY_ROWS, _reml_sql(), _reml_terms(EVENTS_DOMAIN.sites, "target"))
+AGE_FIT = (EV_HOUR, POINTS, _age_rows(), _reml_sql(), _reml_terms(EVENTS_DOMAIN.sites, "age"))
+REML_OUT = """SELECT model, CAST(position AS BIGINT) AS position, term, round(est, 6) AS estimate, round(se, 6) AS std_error,
+  round(est / se, 6) AS statistic, round(p, 6) AS p_value FROM tested"""
+
 COEF = ["position", "term", "estimate", "std_error", "statistic", "p_value"]
 
 QUERIES = {
@@ -286,7 +389,7 @@ FROM adjusted WHERE term <> '(intercept)'""",
     ),
     "random_intercept": query(
         lambda s, d: models.coefficients(_category_fit(s, d), "model", normal=True).select("model", *COEF),
-        None,
+        with_ctes(*CATEGORY_FIT) + REML_OUT,
         6,
     ),
     "random_intercept_tidy": query(
@@ -294,13 +397,25 @@ FROM adjusted WHERE term <> '(intercept)'""",
             models.coefficients(_category_fit(s, d), "model", normal=True).where("term <> '(intercept)'"),
             [], "model",
         ).select("model", "term", "estimate", "std_error", "p_adjusted", "p_text"),
-        None,
+        with_ctes(*CATEGORY_FIT) + """, scaled AS (
+  SELECT *, least(1, p * (count(*) OVER () - row_number() OVER w + 1)) AS sp, row_number() OVER w AS o FROM tested
+  WHERE term <> '(intercept)' WINDOW w AS (ORDER BY p, model)),
+adjusted AS (SELECT *, max(sp) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS padj FROM scaled)
+SELECT model, term, round(est, 6) AS estimate, round(se, 6) AS std_error, round(padj, 6) AS p_adjusted,
+  CASE WHEN padj < 0.001 THEN '< 0.001' ELSE '= ' || regexp_replace(CAST(round(padj, 3) AS VARCHAR), '\\.0$', '') END AS p_text
+FROM adjusted""",
         6,
     ),
     "random_intercept_age": query(
         lambda s, d: models.coefficients(_age_fit(s, d), "model", normal=True).select("model", *COEF),
-        None,
+        with_ctes(*AGE_FIT) + REML_OUT,
+        6,
+    ),
+    "random_intercept_predict": query(
+        _age_predict,
+        with_ctes(*AGE_FIT) + """SELECT model, site, age, round(p, 6) AS predicted, round(p - h, 6) AS conf_low, round(p + h, 6) AS conf_high FROM (
+  SELECT f.model, site, age, a + b * age AS p, 1.959963984540054 * sqrt(s2 * (1 / sw + (age - xb) ** 2 / dxx)) AS h
+  FROM sided f JOIN (SELECT DISTINCT model, CAST(x AS BIGINT) AS age FROM v) g ON f.model = g.model)""",
         6,
     ),
-    "random_intercept_predict": query(_age_predict, None, 6),
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from framewise.domain import Domain
 from framewise.functions.tails import f_p, t_p, z_p
 from framewise.functions.text import p_text
+from framewise.operators.joins import null_safe_join
 from framewise.operators.ordered import holm, running_total
 from framewise.plans import rates
 
@@ -121,34 +122,24 @@ def _design(df: DataFrame, keep: list[str], y: str, terms: dict[str, Column]) ->
     return df.select(*keep, F.col(y).cast("double").alias("_y"), *cols).dropna(subset=["_y", *names])
 
 
-def _products(k: int) -> dict[str, Column]:
-    """Sums of products of the k design columns with each other and with the response."""
-    x = [F.col(f"_x{i}") for i in range(k)]
-    y = F.col("_y")
-    sums = {f"_xx{i}_{j}": F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)}
-    sums.update({f"_xy{i}": F.sum(x[i] * y) for i in range(k)})
-    sums.update({"_yy": F.sum(y * y), "_n": F.count(F.lit(1)).cast("double")})
-    return sums
-
-
-def _moments(k: int) -> dict[str, Column]:
-    """Means and centred sums of products of the design columns after the constant.
+def _comoments(values: list[Column]) -> dict[str, Column]:
+    """Means ``_m{i}`` and centred sums of products ``_c{i}_{j}`` of some columns.
 
     Covariances are merged around the means, so large means do not cancel digits.
     """
-    x, y, n = [F.col(f"_x{i}") for i in range(1, k)], F.col("_y"), F.count(F.lit(1)).cast("double")
-    sums = {f"_m{i}": F.avg(c) for i, c in enumerate(x)}
-    sums.update({f"_xx{i}_{j}": n * F.covar_pop(x[i], x[j]) for i in range(k - 1) for j in range(i, k - 1)})
-    sums.update({f"_xy{i}": n * F.covar_pop(c, y) for i, c in enumerate(x)})
-    sums.update({"_my": F.avg(y), "_yy": n * F.var_pop(y), "_n": n})
-    return sums
+    n = F.count(F.lit(1)).cast("double")
+    sums = {f"_m{i}": F.avg(v) for i, v in enumerate(values)}
+    sums.update(
+        {f"_c{i}_{j}": n * F.covar_pop(values[i], values[j]) for i in range(len(values)) for j in range(i, len(values))}
+    )
+    return sums | {"_n": n}
 
 
 def _named(sums: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in sums.items()]
 
 
-def _matrices(rows: pd.DataFrame, k: int, prefix: str = "_xx") -> np.ndarray:
+def _matrices(rows: pd.DataFrame, k: int, prefix: str = "_c") -> np.ndarray:
     """One symmetric k x k matrix per row."""
     m = np.empty((len(rows), k, k))
     for i in range(k):
@@ -205,21 +196,23 @@ def linear_fit(df: DataFrame, y: str, terms: dict[str, Column], family: str) ->
     """Least squares per family: one pass to means and centred sums of products, solved per
     summary row.  The first term is the constant."""
     k, names = len(terms), list(terms)
-    sums = _design(df, [family], y, terms).groupBy(family).agg(*_named(_moments(k)))
+    values = [*[F.col(f"_x{i}") for i in range(1, k)], F.col("_y")]
+    sums = _design(df, [family], y, terms).groupBy(family).agg(*_named(_comoments(values)))
 
     def solve(batches):
         for batch in batches:
             rows = []
-            for (_, r), xx in zip(batch.iterrows(), _matrices(batch, k - 1)):
+            for (_, r), both in zip(batch.iterrows(), _matrices(batch, k)):
+                xx = both[:-1, :-1]
                 kept, n = _usable(xx), r["_n"]
-                mean, xy = (np.array([r[f"{name}{i}"] for i in kept], float) for name in ("_m", "_xy"))
+                mean, xy = np.array([r[f"_m{i}"] for i in kept], float), both[kept, -1]
                 square = xx[np.ix_(kept, kept)]
                 scale = np.sqrt(np.outer(np.diag(square), np.diag(square)))
                 inverse = np.linalg.inv(square / scale) / scale
                 slope, shift = inverse @ xy, inverse @ mean
                 free = n - len(kept) - 1
-                sigma2 = max(r["_yy"] - slope @ xy, 0.0) / free if free > 0 else np.nan
-                beta = np.concatenate([[r["_my"] - mean @ slope], slope])
+                sigma2 = max(both[-1, -1] - slope @ xy, 0.0) / free if free > 0 else np.nan
+                beta = np.concatenate([[r[f"_m{k - 1}"] - mean @ slope], slope])
                 cov = np.block([[np.array([[1 / n + mean @ shift]]), -shift[None]], [-shift[:, None], inverse]])
                 fit = _fit_row(names, [0, *[i + 1 for i in kept]], beta, sigma2 * cov, n, sigma2, 0.0, xx)
                 rows.append({family: r[family], **fit})
@@ -228,49 +221,65 @@ def linear_fit(df: DataFrame, y: str, terms: dict[str, Column], family: str) ->
     return sums.mapInPandas(solve, f"{family} {sums.schema[family].dataType.simpleString()}, {FIT}")
 
 
-def _reml(theta: float, parts: dict) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """Restricted deviance at variance ratio ``theta`` with the fixed effects there."""
-    weight = theta / (1.0 + parts["size"] * theta)
-    a = parts["xx"] - np.tensordot(weight, parts["sxx"], 1)
-    b = parts["xy"] - weight @ parts["sxy"]
-    c = parts["yy"] - weight @ parts["syy"]
-    beta = np.linalg.solve(a, b)
-    free = parts["n"] - len(b)
-    sigma2 = max(c - beta @ b, 1e-300) / free
-    deviance = (
-        free * np.log(sigma2)
-        + parts["count"] @ np.log1p(parts["size"] * theta)
-        + np.linalg.slogdet(a)[1]
-    )
-    return deviance, beta, sigma2 * np.linalg.inv(a), sigma2
-
-
-def _best_theta(parts: dict) -> float:
-    """Minimise the restricted deviance over theta >= 0 (scan, then golden section).
+class _Profile:
+    """The restricted likelihood of one family as a function of the variance ratio theta.
 
-    The scan widens while its least value is at an end; theta = 0 is compared on its own.
+    Variables are the constant, the predictors and the response, centred at the family's means.
+    With weight w = n / (1 + n theta) for a subject of n rows, their weighted products are the
+    sums within subjects plus w times the products of the subjects' means: nothing is subtracted.
     """
-    first, last = -12.0, 8.0
-    while True:
-        logs = np.arange(first, last + 0.125, 0.25)
-        values = [_reml(np.exp(s), parts)[0] for s in logs]
-        at = int(np.argmin(values))
-        if at == len(logs) - 1 and last < 100.0:
-            last += 8.0
-        elif at == 0 and first > -60.0:
-            first -= 8.0
-        else:
-            break
-    low, high = logs[max(at - 1, 0)], logs[min(at + 1, len(logs) - 1)]
-    golden = (np.sqrt(5.0) - 1.0) / 2.0
-    for _ in range(80):
-        left, right = high - golden * (high - low), low + golden * (high - low)
-        if _reml(np.exp(left), parts)[0] < _reml(np.exp(right), parts)[0]:
-            high = right
-        else:
-            low = left
-    best = float(np.exp((low + high) / 2.0))
-    return best if _reml(best, parts)[0] < _reml(0.0, parts)[0] else 0.0
+
+    def __init__(self, size: np.ndarray, count: np.ndarray, within: np.ndarray, between: np.ndarray):
+        self.size, self.count, self.within, self.between = size, count, within, between
+        self.rows, self.k = size @ count, within.shape[0] - 1
+
+    def solve(self, theta: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+        weight = self.size / (1.0 + self.size * theta)
+        both = self.within + np.tensordot(weight, self.between, 1)
+        scale = np.sqrt(np.diag(both)[:-1])
+        unit = np.linalg.inv(both[:-1, :-1] / np.outer(scale, scale))
+        inverse = unit / np.outer(scale, scale)
+        beta = inverse @ both[:-1, -1]
+        rest = max(both[-1, -1] - beta @ both[:-1, -1], 1e-300)
+        return weight, inverse, rest, beta
+
+    def deviance(self, theta: float) -> float:
+        _, inverse, rest, beta = self.solve(theta)
+        free = self.rows - self.k
+        return free * np.log(rest / free) + self.count @ np.log1p(self.size * theta) - np.linalg.slogdet(inverse)[1]
+
+    def slope(self, theta: float) -> float:
+        """Derivative of the deviance; the fixed effects are at their best, so theirs is zero."""
+        weight, inverse, rest, beta = self.solve(theta)
+        residual = np.append(-beta, 1.0)
+        spread = np.einsum("i,gij,j->g", residual, self.between, residual)
+        leverage = np.einsum("ij,gij->g", inverse, self.between[:, :-1, :-1])
+        return self.count @ weight - weight**2 @ ((self.rows - self.k) / rest * spread + leverage)
+
+    def best(self) -> float:
+        """The theta >= 0 of least deviance: a scan, then bisection on the derivative.
+
+        The scan widens while its least value is at an end; theta = 0 is compared on its own.
+        """
+        first, last = -12.0, 8.0
+        while True:
+            logs = np.arange(first, last + 0.125, 0.25)
+            at = int(np.argmin([self.deviance(np.exp(s)) for s in logs]))
+            if at == len(logs) - 1 and last < 100.0:
+                last += 8.0
+            elif at == 0 and first > -60.0:
+                first -= 8.0
+            else:
+                break
+        low, high = logs[max(at - 1, 0)], logs[min(at + 1, len(logs) - 1)]
+        for _ in range(60):
+            middle = (low + high) / 2.0
+            if self.slope(np.exp(middle)) < 0:
+                low = middle
+            else:
+                high = middle
+        theta = float(np.exp((low + high) / 2.0))
+        return theta if self.deviance(theta) < self.deviance(0.0) else 0.0
 
 
 def random_intercept_fit(
@@ -278,53 +287,53 @@ def random_intercept_fit(
 ) -> DataFrame:
     """Regression with one random intercept per subject, by restricted likelihood.
 
-    Two aggregations: sums per subject, then sums over all subjects with the same number
-    of rows.  The likelihood depends on the data only through that second table, whose
-    length per family is the number of different subject sizes (at most about the square
+    Two aggregations: means and centred sums of products per subject, then the same of the
+    subjects' means over all subjects with the same number of rows.  Both merge around means, so
+    large means cost no digits.  The likelihood depends on the data only through that second table,
+    whose length per family is the number of different subject sizes (at most about the square
     root of twice the row count).  A family without residual degrees of freedom has no estimate.
     """
     k, names = len(terms), list(terms)
     rows = _design(df, [family, subject], y, terms)
-    x = [f"_x{i}" for i in range(k)]
-    per_subject = rows.groupBy(family, subject).agg(
-        *_named(_products(k)),
-        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(x)],
-        F.sum("_y").alias("_sy"),
-    )
-    products = list(_products(k))
-    s = [F.col(f"_s{i}") for i in range(k)]
+    values = [*[F.col(f"_x{i}") for i in range(1, k)], F.col("_y")]
+    per_subject = rows.groupBy(family, subject).agg(*_named(_comoments(values)))
+    means = {c: v for c, v in _comoments([F.col(f"_m{i}") for i in range(k)]).items()}
+    count = means.pop("_n")
     by_size = per_subject.groupBy(family, F.col("_n").alias("_size")).agg(
-        F.count(F.lit(1)).cast("double").alias("_count"),
-        *[F.sum(c).alias(c) for c in products],
-        *[F.sum(s[i] * s[j]).alias(f"_sxx{i}_{j}") for i in range(k) for j in range(i, k)],
-        *[F.sum(s[i] * F.col("_sy")).alias(f"_sxy{i}") for i in range(k)],
-        F.sum(F.col("_sy") * F.col("_sy")).alias("_syy"),
+        count.alias("_count"),
+        *_named(means),
+        *[F.sum(f"_c{i}_{j}").alias(f"_w{i}_{j}") for i in range(k) for j in range(i, k)],
     )
 
     def fit(sizes: pd.DataFrame) -> pd.DataFrame:
-        sums = sizes[products].sum()
-        xx = _matrices(sizes, k).sum(axis=0)
-        kept = _usable(xx)
-        square = np.ix_(kept, kept)
-        parts = {
-            "size": sizes["_size"].to_numpy(),
-            "count": sizes["_count"].to_numpy(),
-            "xx": xx[square],
-            "xy": np.array([sums[f"_xy{i}"] for i in kept]),
-            "yy": sums["_yy"],
-            "n": sums["_n"],
-            "sxx": _matrices(sizes, k, "_sxx")[:, kept][:, :, kept],
-            "sxy": sizes[[f"_sxy{i}" for i in kept]].to_numpy(),
-            "syy": sizes["_syy"].to_numpy(),
-        }
-        if sums["_n"] > len(kept):
-            theta = _best_theta(parts)
-            _, beta, cov, sigma2 = _reml(theta, parts)
+        size, count = (sizes[c].to_numpy(float) for c in ("_size", "_count"))
+        n = size @ count
+        mean = sizes[[f"_m{i}" for i in range(k)]].to_numpy(float)
+        centre = (size * count) @ mean / n
+        off = mean - centre
+        within = np.zeros((k + 1, k + 1))
+        within[1:, 1:] = _matrices(sizes, k, "_w").sum(axis=0)
+        between = np.empty((len(sizes), k + 1, k + 1))
+        between[:, 0, 0] = count
+        between[:, 0, 1:] = between[:, 1:, 0] = count[:, None] * off
+        between[:, 1:, 1:] = _matrices(sizes, k) + count[:, None, None] * off[:, :, None] * off[:, None, :]
+        centred = within[1:, 1:] + np.tensordot(size, between[:, 1:, 1:], 1)
+        kept = [0, *[i + 1 for i in _usable(centred[:-1, :-1])]]
+        if n > len(kept):
+            used = [*kept, k]
+            profile = _Profile(size, count, within[np.ix_(used, used)], between[:, used][:, :, used])
+            theta = profile.best()
+            _, inverse, rest, beta = profile.solve(theta)
+            sigma2 = rest / (n - len(kept))
+            # back from centred predictors to the constant at zero
+            back = np.eye(len(kept))
+            back[0, 1:] = -centre[[i - 1 for i in kept[1:]]]
+            beta, cov = back @ beta, sigma2 * back @ inverse @ back.T
+            beta[0] += centre[-1]
         else:
             theta = sigma2 = np.nan
             beta, cov = np.full(len(kept), np.nan), np.full((len(kept), len(kept)), np.nan)
-        centred = xx[1:, 1:] - np.outer(xx[0, 1:], xx[0, 1:]) / xx[0, 0]
-        row = _fit_row(names, kept, beta, cov, sums["_n"], sigma2, theta * sigma2, centred)
+        row = _fit_row(names, kept, beta, cov, n, sigma2, theta * sigma2, centred[:-1, :-1])
         return pd.DataFrame([{family: sizes[family].iloc[0], **row}])
 
     kind = by_size.schema[family].dataType.simpleString()
@@ -379,7 +388,7 @@ def tidy(
 def predict(fit: DataFrame, grid: DataFrame, terms: dict[str, Column], family: str) -> DataFrame:
     """Fitted value and 95% interval at every grid row of the family."""
     vector = F.array(*[t.cast("double") for t in terms.values()])
-    rows = grid.withColumn("_x", vector).join(fit.select(family, "beta", "cov"), family)
+    rows = null_safe_join(grid.withColumn("_x", vector), fit.select(family, "beta", "cov"), [family], "inner")
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
@@ -414,7 +423,7 @@ def prediction_grid(df: DataFrame, sites: tuple[str, str], family: str, means: t
     grid = ages.select(family, F.explode(F.array(*[F.lit(s) for s in sites])).alias("site"), "age")
     if not means:
         return grid
-    return grid.join(df.groupBy(family).agg(*[F.avg(m).alias(m) for m in means]), family)
+    return null_safe_join(grid, df.groupBy(family).agg(*[F.avg(m).alias(m) for m in means]), [family], "inner")
 
 
 # ---------------------------------------------------------------- model inputs
