@@ -158,17 +158,14 @@ def _pivot(s, d):
 def _quantiles(s, d):
     return ordered.quantiles(
         table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice",
-        {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}, 500.0,
+        {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95},
     )
 
 
 def _neighbours(s, d):
     """Previous and next order of each customer."""
     rows = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    steps = ordered.neighbours(
-        rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_totalprice"],
-        F.date_trunc("quarter", "o_orderdate"),
-    )
+    steps = ordered.neighbours(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_totalprice"])
     return steps.select("o_custkey", "o_orderkey", "prev_o_totalprice", "next_o_totalprice")
 
 
@@ -176,7 +173,7 @@ def _running(s, d):
     days = table(s, d, "orders").groupBy(
         "o_orderpriority", F.datediff("o_orderdate", F.lit("1990-01-01")).alias("day")
     ).agg(F.count(F.lit(1)).alias("n"))
-    return ordered.running_total(days, ["o_orderpriority"], "day", "n", 90.0)
+    return ordered.running_total(days, ["o_orderpriority"], "day", "n")
 
 
 QUERIES = {

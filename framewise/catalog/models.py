@@ -76,7 +76,7 @@ def _shares(s, d):
 
 
 def _rank_by_category(s, d):
-    return models.rank_sum(_shares(s, d), ["category"], "site", EVENTS_DOMAIN.sites, "y", 0.02)
+    return models.rank_sum(_shares(s, d), ["category"], "site", EVENTS_DOMAIN.sites, "y")
 
 
 # Per site and category: sums of squares and products of age (x), frames (f) and share (y).
@@ -292,7 +292,7 @@ COEF = ["position", "term", "estimate", "std_error", "statistic", "p_value"]
 QUERIES = {
     "rank_sum": query(
         lambda s, d: models.rank_sum(
-            _daily(s, d), [], "site", ORDERS_DOMAIN.sites, "n_items", 8.0
+            _daily(s, d), [], "site", ORDERS_DOMAIN.sites, "n_items"
         ),
         _rank_sum_sql(with_ctes(OBS_ORDERS, DAILY)[5:].rstrip(), "SELECT site, n AS y FROM per WHERE site IN ('ASIA', 'EUROPE')", "", "ASIA", "EUROPE")
         + "SELECT " + RANK_OUT,

@@ -153,7 +153,7 @@ QUERIES = {
     ),
     "item_transition_rate_orders": query(
         lambda s, d: rates.transition_rate(
-            obs_orders(s, d).withColumn("hour", F.lit(0).cast("long")), "item", slice_by="month"
+            obs_orders(s, d).withColumn("hour", F.lit(0).cast("long")), "item"
         ),
         _transition_sql(OBS_ORDERS, "item", False, "CAST(0 AS BIGINT) AS hour"),
     ),
@@ -207,7 +207,7 @@ FROM events GROUP BY ALL""",
     ),
     "box_summary": query(
         lambda s, d: report.box_summary(
-            rates.items_per_hour_by_category(obs_events(s, d, "hour")), ["site", "category"], "y", 0.05
+            rates.items_per_hour_by_category(obs_events(s, d, "hour")), ["site", "category"], "y"
         ),
         with_ctes(EV_HOUR) + """, v AS (SELECT site, subject, category, avg(n) AS y FROM (
   SELECT site, subject, hour, category, count(DISTINCT item) AS n FROM obs GROUP BY ALL) GROUP BY ALL),

@@ -15,14 +15,13 @@ FRAME = ["site", "subject", "frame"]
 def frame_durations(timestamps: DataFrame) -> DataFrame:
     """Seconds to the subject's next frame; NULL for its first and last frame.
 
-    Days are the slices of the order, so a subject with very many frames is spread out.
+    A subject with very many frames is spread over slices of its order.
     """
     steps = neighbours(
         timestamps.select("subject", "frame", "ts"),
         ["subject"],
         ["ts", "frame"],
         ["ts"],
-        F.date_trunc("day", "ts"),
     )
     inside = F.col("prev_ts").isNotNull() & F.col("next_ts").isNotNull()
     seconds = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts")) / F.lit(1e6)

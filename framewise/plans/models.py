@@ -27,13 +27,18 @@ NORMAL_975 = 1.959963984540054
 
 
 def rank_sum(
-    df: DataFrame, family: list[str], sample: str, levels: tuple[str, str], value: str, width: float
+    df: DataFrame,
+    family: list[str],
+    sample: str,
+    levels: tuple[str, str],
+    value: str,
+    width: float | None = None,
 ) -> DataFrame:
     """Two-sample rank-sum test per family: normal approximation, ties and continuity
     corrected.
 
     Equal values collapse to one row first; the rank of a value is the running total of
-    the counts below it, taken in slices of ``width``.
+    the counts below it, taken in slices of about equal row counts (or of ``width``).
     """
     known = df.where(F.col(sample).isin(*levels) & F.col(value).isNotNull())
     counts = (
@@ -41,7 +46,7 @@ def rank_sum(
         .agg(*[F.count_if(F.col(sample) == s).alias(f"_c{i}") for i, s in enumerate(levels)])
         .withColumn("_t", F.col("_c0") + F.col("_c1"))
     )
-    placed = running_total(counts, family, value, "_t", width)
+    placed = running_total(counts, family, value, "_t", width, known)
     rank = F.col("before") + (F.col("_t") + 1) / 2
     t = F.col("_t").cast("double")
     sums = placed.groupBy(*family).agg(

@@ -45,14 +45,14 @@ def category_panel(values: DataFrame, site: str | None = None) -> DataFrame:
 
 
 def transition_rate(
-    view: DataFrame, column: str = "item", keep_zero: bool = False, slice_by: str = "day"
+    view: DataFrame, column: str = "item", keep_zero: bool = False, slice_by: str | None = None
 ) -> DataFrame:
     """Changes of the handled ``column`` values between successive frames, per hour.
 
     A frame is described by its values in sorted order, so their order of entry does not
     matter.  The count of changes is divided by the distinct values of that hour.  Frames
-    are ordered by time within the subject; ``slice_by`` cuts that order so that a
-    subject with very many frames is not one task.
+    are ordered by time within the subject; the order of a subject with very many frames is cut
+    into slices of about equal row counts, or into calendar units by ``slice_by``.
     """
     # A set of (value, item) pairs: repeated records count once, the list is no longer than
     # the vocabulary, and two items of one category still show as two entries.
@@ -60,9 +60,8 @@ def transition_rate(
     frames = view.groupBy("site", "subject", "age", "frame").agg(
         F.min("ts").alias("ts"), F.array_join(pairs.getField("v"), ", ").alias("held")
     )
-    steps = neighbours(
-        frames, ["subject"], ["ts", "frame"], ["held"], F.date_trunc(slice_by, "ts")
-    )
+    unit = None if slice_by is None else F.date_trunc(slice_by, "ts")
+    steps = neighbours(frames, ["subject"], ["ts", "frame"], ["held"], unit, view)
     changed = (F.col("held") != F.col("prev_held")).cast("long")
     moves = (
         steps.withColumn("hour", F.hour("ts").cast("long"))

@@ -144,7 +144,7 @@ def subject_totals(view: DataFrame) -> DataFrame:
     )
 
 
-def item_prevalence(view: DataFrame, item: str, width: float = 0.01) -> DataFrame:
+def item_prevalence(view: DataFrame, item: str, width: float | None = None) -> DataFrame:
     """Per site: share of subjects with the item, and its share of frames over subjects."""
     rows = F.count_if(F.col("item") == item)
     shares = (
@@ -166,7 +166,7 @@ def item_prevalence(view: DataFrame, item: str, width: float = 0.01) -> DataFram
 
 
 def box_summary(
-    values: DataFrame, group: list[str], column: str, width: float, reach: float = 1.5
+    values: DataFrame, group: list[str], column: str, width: float | None = None, reach: float = 1.5
 ) -> DataFrame:
     """Quartiles and whisker ends (the extreme values within 1.5 quartile ranges)."""
     boxes = quantiles(

@@ -68,12 +68,18 @@ def test_top_lists_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("name", ["running_total", "quantiles", "neighbours", "frame_durations"])
+@pytest.mark.parametrize("name", ["running_total", "quantiles"])
 def test_sliced_operators_scan_once(spark, name):
     plan = executed(QUERIES[name](spark, FOLDER))
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("name", ["neighbours", "frame_durations"])
+def test_order_without_hot_keys_is_one_window(spark, name):
+    plan = executed(QUERIES[name](spark, FOLDER))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["site", "item"] and df.count() == 125

@@ -104,6 +104,30 @@ def test_random_intercept_against_dense_likelihood(spark, seed, spread):
         assert got[name]["p_value"] == pytest.approx(tails.normal_two_sided(beta[i] / error[i]), abs=1e-9)
 
 
+@pytest.mark.parametrize("far", [1e4, 1e6])
+def test_random_intercept_far_from_zero(spark, far):
+    rows = data(3)
+    near = spark.createDataFrame(rows, DDL)
+    moved = near.withColumns({"age": F.col("age") + far, "y": F.col("y") + far})
+    terms = models.site_by("age", SITES)
+    a, b = (coef(models.random_intercept_fit(df, "y", terms, "model"), normal=True) for df in (near, moved))
+    for name in ("age", "site:age"):
+        for what in ("estimate", "std_error", "p_value"):
+            # at 1e6 the site and its product with age differ by 4e-10 of their variance
+            assert b[name][what] == pytest.approx(a[name][what], rel=1e-6 if far < 1e6 else 5e-6, abs=1e-9)
+    slope, inter = a["age"]["estimate"], a["site:age"]["estimate"]
+    assert b["site"]["estimate"] == pytest.approx(a["site"]["estimate"] - inter * far, rel=5e-6)
+    assert b["(intercept)"]["estimate"] == pytest.approx(a["(intercept)"]["estimate"] + far - slope * far, rel=5e-6)
+
+
+def test_a_family_of_null_is_predicted(spark):
+    df = spark.createDataFrame(data(4), DDL).withColumn("model", F.lit(None).cast("string"))
+    terms = models.site_by("age", SITES)
+    grid = models.prediction_grid(df, SITES, "model", ("n_frames",))
+    assert grid.count() == 2 * df.select("age").distinct().count()
+    assert models.predict(models.linear_fit(df, "y", terms, "model"), grid, terms, "model").count() == grid.count()
+
+
 def test_prediction_grid_and_interval(spark):
     rows = data(6)
     df = spark.createDataFrame(rows, DDL)

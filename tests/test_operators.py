@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -106,7 +106,55 @@ def test_neighbours_equal_a_plain_window(spark, values, seed):
     assert values(got, *want.columns) == values(want)
 
 
-@pytest.mark.parametrize("width", [0.5, 7.0, 1000.0])
+def one_day(subjects, hot):
+    """Rows of many subjects in one day, ``hot`` of them of subject 0."""
+    start = datetime(2024, 1, 1)
+    owner = [0] * hot + [1 + i % subjects for i in range(2 * hot)]
+    return [(s, i, start + timedelta(seconds=(i * 7919) % 86400), i % 5) for i, s in enumerate(owner)]
+
+
+def test_a_hot_subject_of_one_day_is_cut_evenly(spark, values):
+    df = spark.createDataFrame(one_day(500, 4000), "subject int, frame int, ts timestamp, v int")
+    cut = ordered.slice_of(df, ["subject"], ["ts", "frame"], slices=16)
+    sizes = [r["count"] for r in df.groupBy("subject", cut.alias("s")).count().collect() if r["subject"] == 0]
+    assert len(sizes) > 3 and max(sizes) <= 2 * 12000 / 16
+    got = ordered.neighbours(df, ["subject"], ["ts", "frame"], ["v"], cut)
+    w = Window.partitionBy("subject").orderBy("ts", "frame")
+    assert values(got) == values(df.withColumns({"prev_v": F.lag("v").over(w), "next_v": F.lead("v").over(w)}))
+    auto = ordered.neighbours(df, ["subject"], ["ts", "frame"], ["v"])
+    assert values(auto) == values(got)
+    assert ordered.slice_of(df.limit(100), ["subject"], ["ts", "frame"]) is None
+
+
+def test_clustered_values_spread_over_slices(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.random(9000) * 1e-6, rng.random(1000) * 100, np.full(2000, 50.0)])
+    df = spark.createDataFrame([("g", float(v)) for v in x] + [(None, 1.0), (None, None)], "g string, x double")
+    counts = df.groupBy("g", "x").count()
+    cut = ordered.slice_of(df.where("x is not null"), ["g"], ["x"], slices=20)
+    sizes = [r["count"] for r in counts.groupBy("g", cut.alias("s")).count().collect()]
+    assert max(sizes) <= 3 * len(x) / 20
+    out = {r["g"]: r for r in ordered.quantiles(df, ["g"], "x", {"q": 0.25, "r": 0.9}).collect()}
+    assert [out["g"]["q"], out["g"]["r"]] == pytest.approx(list(np.quantile(x, [0.25, 0.9])))
+    assert (out[None]["q"], out[None]["n"]) == (1.0, 1)
+
+
+@pytest.mark.parametrize("order", [["s"], ["d", "s"], ["f", "s"], ["t", "f"]])
+def test_cuts_follow_the_order_of_any_type(spark, order):
+    rng = random.Random(2)
+    rows = [
+        (rng.choice(["a", "é", "Z", "aa", "\U0001F600", None]), date(2024, 1, 1) + timedelta(days=rng.randrange(50)),
+         rng.choice([0.5, -1.0, 3.0, float("nan"), None]), datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(999)))
+        for _ in range(2000)
+    ]
+    df = spark.createDataFrame(rows, "s string, d date, f double, t timestamp")
+    cut = ordered.slice_of(df, [], order, slices=8)
+    w = Window.orderBy(*order)
+    steps = df.withColumn("n", cut).withColumn("before", F.lag("n").over(w))
+    assert steps.where("n < before").isEmpty() and steps.agg(F.max("n")).first()[0] > 1
+
+
+@pytest.mark.parametrize("width", [0.5, 7.0, 1000.0, None])
 def test_running_total_and_quantiles(spark, width):
     rng = np.random.default_rng(3)
     rows = [("a", float(x)) for x in rng.integers(-30, 60, 400)] + [("b", 2.5)] + [(None, 1.0), (None, 4.0)]
