@@ -155,9 +155,7 @@ def none_overlay(s, d):
 
 
 def overlaid(s, d):
-    step = prep.apply_overlay(prep.colocate(raw(s, d)), unsure_overlay(s, d))
-    step = prep.apply_overlay(step, b.immovable(s, d))
-    return prep.apply_overlay(step, none_overlay(s, d), how="full")
+    return prep.fold_overlays(raw(s, d), overlays(s, d))
 
 
 def dropped(s, d):
@@ -166,14 +164,13 @@ def dropped(s, d):
     return non_members(pairs, picked, ["subject"]).select("subject")
 
 
+def overlays(s, d):
+    return [(unsure_overlay(s, d), "left"), (b.immovable(s, d), "left"), (none_overlay(s, d), "full")]
+
+
 def fact(s, d):
-    overlays = [
-        (unsure_overlay(s, d), "left"),
-        (b.immovable(s, d), "left"),
-        (none_overlay(s, d), "full"),
-    ]
     return prep.prepare(
-        b.records(s, d), overlays, b.labels(s, d), b.corrections(s, d), PATTERN, RULES,
+        b.records(s, d), overlays(s, d), b.labels(s, d), b.corrections(s, d), PATTERN, RULES,
         b.categories(s, d), b.people(s, d), b.timestamps(s, d), dropped(s, d),
     )
 

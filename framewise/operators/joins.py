@@ -1,5 +1,6 @@
 """Joins whose keys may be NULL.
 
+Dictionary joins spread the keys that many rows share, and NULL, over several partitions.
 No join carries a broadcast hint: Spark broadcasts a side when its known size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and merges, with adaptive
 execution splitting skewed partitions.
@@ -7,6 +8,7 @@ execution splitting skewed partitions.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,41 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return joined.select(*key_columns, *rest)
 
 
+def heavy_values(df: DataFrame, key: str, slices: int | None = None, sample: int = 64) -> list:
+    """Values of ``key``, NULL aside, that hold more than a shuffle partition's share of the rows.
+
+    Read from ``slices`` (default: the shuffle partitions) times ``sample`` random rows, however
+    large the table; at most ``slices`` values.  A smaller table has none.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = df.select(F.col(f"`{key}`").alias("k")).orderBy(F.rand(7)).limit(slices * sample).collect()
+    if len(drawn) < slices * sample:
+        return []
+    counts = Counter(r["k"] for r in drawn)
+    return sorted(k for k, n in counts.items() if k is not None and n > sample)
+
+
+def look_up(
+    df: DataFrame, dictionary: DataFrame, key: str, spread: list[str], heavy: list, copies: int | None = None
+) -> DataFrame:
+    """Left join with a dictionary on ``key``, in which NULL matches NULL.
+
+    Rows whose key is NULL or ``heavy`` are dealt over ``copies`` (default: the shuffle partitions)
+    parts by a hash of their ``spread`` columns, and those entries of the dictionary go to all
+    parts, so no key is one partition; other entries go to one part.  The parts only matter where
+    Spark shuffles; a small dictionary is broadcast as before.
+    """
+    copies = copies or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.col(f"`{key}`").isNull()
+    if heavy:
+        dealt = dealt | F.col(f"`{key}`").isin(heavy)
+    part = F.when(dealt, F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int")).otherwise(0)
+    parts = F.when(dealt, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    rows = df.withColumn("_part", part)
+    entries = dictionary.withColumn("_part", F.explode(parts))
+    return null_safe_join(rows, entries, [key, "_part"], "left").drop("_part")
+
+
 def members(df: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key occurs in ``allowed`` (NULL is a value like any other)."""
     return null_safe_join(df, allowed.select(*keys), keys, "left_semi")

@@ -8,11 +8,14 @@ dictionary joins that are not broadcast shuffle by item.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.domain import Domain, ordinal
 from framewise.functions.nulls import blank_where_set, if_known
-from framewise.operators.joins import non_members, null_safe_join, outside
+from framewise.operators.joins import heavy_values, look_up, non_members, outside
 from framewise.operators.reshape import explode_list
 
 KEYS = ["subject", "frame"]
@@ -50,7 +53,12 @@ def flags_to_reason(df: DataFrame, flags: dict[str, str], strict: bool = False)
     look usable too; ``strict=True`` prevents that.  Each record unfolds into its few
     distinct reasons rather than one row per flag.
     """
-    return df.select(*KEYS, "item", F.explode(reasons_of(flags, strict)).alias("reason")).distinct()
+    return unfold_reasons(df, flags, strict).distinct()
+
+
+def unfold_reasons(df: DataFrame, flags: dict[str, str], strict: bool = False) -> DataFrame:
+    """``flags_to_reason`` without removing repeated rows, so without a shuffle."""
+    return df.select(*KEYS, "item", F.explode(reasons_of(flags, strict)).alias("reason"))
 
 
 def overlay_each_flag(df: DataFrame, flags: dict[str, str]) -> DataFrame:
@@ -101,6 +109,33 @@ def apply_overlay(base: DataFrame, overlay: DataFrame, how: str = "left") -> Dat
     return picked.withColumn("item", blank_where_set(F.col("reason"), F.col("item"))).distinct()
 
 
+def _stacked(base: DataFrame, overlays: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Base records and overlay rows as ``RECORD`` with their turn and whether they add frames."""
+    parts = [base.select(*RECORD, F.lit(0).alias("_turn"), F.lit(True).alias("_adds"))]
+    parts += [_turns(overlay, turn, how) for turn, (overlay, how) in enumerate(overlays, 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _turns(overlay: DataFrame, turn: int, how: str) -> DataFrame:
+    new = [F.col(f"new_{c}").alias(c) for c in ("item", "reason")]
+    return overlay.select(*KEYS, *new, F.lit(turn).alias("_turn"), F.lit(how == "full").alias("_adds"))
+
+
+def fold_overlays(base: DataFrame, overlays: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Several overlays at once, with the result of ``apply_overlay`` one after the other.
+
+    Of a frame's rows those of its last overlay win, or the base's if none lists it; a frame that
+    the base lacks needs one ``"full"`` overlay among its own.  All rows are stacked and one window
+    per frame picks the winners: one shuffle and no join, however many overlays there are.
+    """
+    frame = Window.partitionBy(*KEYS)
+    rows = _stacked(base, overlays).withColumns(
+        {"_last": F.max("_turn").over(frame), "_there": F.max("_adds").over(frame)}
+    )
+    won = rows.where((F.col("_turn") == F.col("_last")) & F.col("_there")).select(*RECORD)
+    return won.withColumn("item", blank_where_set(F.col("reason"), F.col("item"))).distinct()
+
+
 def worklist(df: DataFrame, checked: DataFrame, keys: list[str], where: Column) -> DataFrame:
     """Rows that need review and are not among those already checked."""
     return non_members(df.where(where), checked, keys)
@@ -113,12 +148,19 @@ def split_items(df: DataFrame, max_items: int | None = None) -> DataFrame:
 
 
 def regularise_labels(
-    df: DataFrame, labels: DataFrame, max_items: int | None = None
+    df: DataFrame, labels: DataFrame, max_items: int | None = None, heavy: list | None = None
 ) -> DataFrame:
-    """Swap raw labels for their dictionary form, which may itself list items."""
-    named = null_safe_join(df, labels.select("item", "new_item"), ["item"], "left")
-    named = named.withColumn("item", F.coalesce("new_item", "item"))
-    return split_items(named, max_items)
+    """Swap raw labels for their dictionary form, which may itself list items.
+
+    ``heavy`` names items that many rows share (default: read from a sample of ``df``).
+    """
+    return split_items(_renamed(df, labels, heavy), max_items)
+
+
+def _renamed(df: DataFrame, labels: DataFrame, heavy: list | None) -> DataFrame:
+    heavy = heavy_values(df, "item") if heavy is None else heavy
+    named = look_up(df, labels.select("item", "new_item"), "item", [*KEYS, "reason"], heavy)
+    return named.withColumn("item", F.coalesce("new_item", "item")).select(*df.columns)
 
 
 def apply_corrections(
@@ -138,8 +180,10 @@ def relabel_by_frame(
     """Rename the items of frames whose raw text matches and whose flag is set.
 
     The first rule that applies to a frame wins and renames every row of the frame, or
-    only rows whose item matches with ``only_matching``.
+    only rows whose item matches with ``only_matching``.  Without rules nothing changes.
     """
+    if not rules:
+        return df
     marks = (
         records.where(F.col("item").rlike(pattern))
         .groupBy(*KEYS)
@@ -159,9 +203,13 @@ def audit_exclusive(records: DataFrame, pattern: str, one: str, other: str) -> D
     return records.where(F.col("item").rlike(pattern)).agg(F.count_if(both).alias("n_conflicts"))
 
 
-def assign_category(df: DataFrame, categories: DataFrame) -> DataFrame:
-    """Look up the category of each item; excluded rows keep neither."""
-    found = null_safe_join(df, categories.select("item", "category"), ["item"], "left")
+def assign_category(df: DataFrame, categories: DataFrame, heavy: list | None = None) -> DataFrame:
+    """Look up the category of each item; excluded rows keep neither.
+
+    ``heavy`` names items that many rows share (default: read from a sample of ``df``).
+    """
+    heavy = heavy_values(df, "item") if heavy is None else heavy
+    found = look_up(df, categories.select("item", "category"), "item", [*KEYS, "reason"], heavy)
     reason = F.col("reason")
     return found.select(
         *KEYS,
@@ -197,11 +245,15 @@ def clean_fact(
     timestamps: DataFrame,
     dropped: DataFrame | None = None,
 ) -> DataFrame:
-    """Add subject and time columns, leave out dropped subjects, order the columns."""
+    """Add subject and time columns, leave out dropped subjects, order the columns.
+
+    Times that carry a ``duration`` (``agree.frame_durations``) hand it on as the last column.
+    """
+    times = [c for c in ("ts", "duration") if c in timestamps.columns]
     if dropped is not None:
         df = non_members(df, dropped, ["subject"])
     people = participants.select("subject", "site", "age", "sex", "wearer")
-    joined = df.join(timestamps.select(*KEYS, "ts"), KEYS, "left").join(people, ["subject"], "left")
+    joined = df.join(timestamps.select(*KEYS, *times), KEYS, "left").join(people, ["subject"], "left")
     reason = F.col("reason")
     return joined.select(
         "site",
@@ -213,7 +265,7 @@ def clean_fact(
         "reason",
         blank_where_set(reason, F.col("category")).alias("category"),
         blank_where_set(reason, F.col("item")).alias("item"),
-        "ts",
+        *times,
     ).distinct()
 
 
@@ -232,26 +284,75 @@ def prepare(
     strict: bool = False,
     caps: tuple[int | None, int | None, int | None] = (None, None, None),
 ) -> DataFrame:
-    """The whole chain from raw records to the clean fact, kept together by frame.
+    """The whole chain from raw records to the clean fact, with one shuffle of the records by frame.
 
     ``overlays`` are applied in order, each with its join kind.  ``pattern`` and ``rules``
     relabel frames by their raw text and flags.  Lists of items are read whole; ``caps`` limits
     raw, dictionary and correction lists, as ``PUBLISHED_CAPS`` does.
+
+    The rows of records and overlays are split and renamed where they are, then stacked with the
+    corrections, and one window per frame picks those that stand: of the overlays as in
+    ``fold_overlays``, and the corrections where the frame has a row otherwise.  A row that splits
+    to nothing keeps its turn until then.
     """
     flagged = text_flag(records, "item", EXPERIMENTER_TEXT, "experimenter")
-    rows = colocate(flags_to_reason(flagged, flags, strict))
-    for overlay, how in overlays:
-        rows = apply_overlay(rows, overlay, how)
-    rows = regularise_labels(split_items(rows, caps[0]), labels, caps[1])
-    rows = apply_corrections(rows, corrections, caps[2])
-    rows = relabel_by_frame(rows, records, pattern, rules)
-    rows = resolve_reasons(assign_category(rows, categories))
+    heavy, renamed = _heavy_items(records, labels, caps[0])
+    rows = _entries(_stacked(unfold_reasons(flagged, flags, strict), overlays), caps[0])
+    named = _renamed(rows.withColumn("_has", F.col("item").isNotNull()), labels, heavy)
+    rows = _entries(named.withColumn("item", F.when(F.col("_has"), F.col("item"))).drop("_has"), caps[1])
+    patch = _entries(_turns(corrections, len(overlays) + 1, "left"), caps[2])
+    rows = rows.unionByName(patch)
+    rows = _standing(rows, len(overlays))
+    rows = resolve_reasons(relabel_by_frame(rows, records, pattern, rules))
+    rows = assign_category(rows, categories, sorted({*heavy, *renamed, *[name for _, name in rules]}))
     return clean_fact(rows, participants, timestamps, dropped)
 
 
-def analysis_view(fact: DataFrame, excluded_items: tuple[str, ...] = ()) -> DataFrame:
-    """Usable, categorised rows with the hour of day."""
-    usable = fact.where(F.col("reason").isNull() & F.col("category").isNotNull())
-    return usable.where(outside(F.col("item"), excluded_items)).withColumn(
-        "hour", F.hour("ts").cast("long")
+def _entries(df: DataFrame, max_items: int | None) -> DataFrame:
+    """One row per listed item; a row without any keeps one, empty.  Excluded rows have no item."""
+    blanked = df.withColumn("item", blank_where_set(F.col("reason"), F.col("item")))
+    return explode_list(blanked, "item", max_items, keep_if=F.lit(True))
+
+
+def _heavy_items(records: DataFrame, labels: DataFrame, max_items: int | None) -> tuple[list, list]:
+    """Items that many raw records list, and their dictionary forms (few, as the former are)."""
+    heavy = heavy_values(explode_list(records.select("item"), "item", max_items), "item")
+    if not heavy:
+        return [], []
+    forms = explode_list(labels.where(F.col("item").isin(heavy)).select(F.col("new_item").alias("item")), "item")
+    return heavy, [r["item"] for r in forms.distinct().collect()]
+
+
+def _standing(rows: DataFrame, overlays: int) -> DataFrame:
+    """Records that stand after the overlays' turns and the corrections' turn after them."""
+    frame = Window.partitionBy(*KEYS)
+    turn, whole = F.col("_turn"), F.col("item").isNotNull() | F.col("reason").isNotNull()
+    corrected = turn > overlays
+    rows = rows.withColumns(
+        {
+            "_last": F.max(F.when(~corrected, turn)).over(frame),
+            "_there": F.max(F.when(~corrected, F.col("_adds"))).over(frame),
+            "_patched": F.max(corrected).over(frame),
+        }
     )
+    won = (turn == F.col("_last")) & F.col("_there")
+    rows = rows.withColumn("_alive", F.coalesce(F.max(won & whole).over(frame), F.lit(False)))
+    stands = F.when(F.col("_patched") & F.col("_alive"), corrected).otherwise(won)
+    return rows.where(stands & whole).select(*RECORD).distinct()
+
+
+def analysis_view(
+    fact: DataFrame, excluded_items: tuple[str, ...] = (), domain: Domain | None = None
+) -> DataFrame:
+    """Usable, categorised rows with the hour of day.
+
+    With a ``domain``, sites and categories outside it become NULL and ``site_level`` and
+    ``category_level`` give their places in it.
+    """
+    usable = fact.where(F.col("reason").isNull() & F.col("category").isNotNull())
+    view = usable.where(outside(F.col("item"), excluded_items)).withColumn("hour", F.hour("ts").cast("long"))
+    if domain is None:
+        return view
+    levels = {"site": domain.sites, "category": domain.categories}
+    view = view.withColumns({f"{c}_level": ordinal(F.col(c), names) for c, names in levels.items()})
+    return view.withColumns({c: F.when(F.col(f"{c}_level").isNotNull(), F.col(c)) for c in levels})

@@ -1,6 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from framewise.domain import Domain
+from framewise.operators import joins
 from framewise.plans import prep
 
 REC = "subject long, frame string, item string, reason string"
@@ -44,6 +48,111 @@ def test_overlay_replaces_even_by_null(make, values):
     ]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_folded_overlays_equal_one_after_the_other(spark, values, seed):
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
+    rows = lambda n, frames: [(pick(1, 2), pick(*frames), pick("cup", "pot", None), pick(None, None, "Unsure")) for _ in range(n)]
+    base = spark.createDataFrame(rows(12, "abcd"), REC)
+    overlays = [(spark.createDataFrame(rows(4, "abcdefg"), OVER), pick("left", "full")) for _ in range(3)]
+    want = base
+    for overlay, how in overlays:
+        want = prep.apply_overlay(want, overlay, how)
+    assert values(prep.fold_overlays(base, overlays)) == values(want.distinct())
+    assert values(prep.fold_overlays(base, [])) == values(prep.apply_overlay(base, overlays[0][0].limit(0)))
+
+
+def one_after_the_other(records, overlays, labels, corrections, categories, people, times, caps):
+    rows = prep.flags_to_reason(prep.text_flag(records, "item", prep.EXPERIMENTER_TEXT, "experimenter"), prep.REASON_FLAGS)
+    for overlay, how in overlays:
+        rows = prep.apply_overlay(rows, overlay, how)
+    rows = prep.regularise_labels(prep.split_items(rows, caps[0]), labels, caps[1])
+    rows = prep.relabel_by_frame(prep.apply_corrections(rows, corrections, caps[2]), records, "knife", RULES)
+    return prep.clean_fact(prep.resolve_reasons(prep.assign_category(rows, categories)), people, times)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_prepare_equals_its_steps_one_after_the_other(spark, values, seed):
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
+    items = ("cup", "knife, cup", " pot ,cup", " , ", None, "exclude it", "knife", "a,b,c,d", "phone")
+    flag = lambda: pick(0, 0, 0, 1, None)
+    records = spark.createDataFrame(
+        [(pick(1, 2), pick(*"abcdef"), pick(*items), flag(), flag(), flag(), flag(), flag()) for _ in range(14)],
+        "subject long, frame string, item string, none int, exclude int, unsure int, tool_meal int, tool_work int",
+    )
+
+    def overlay(n):
+        return spark.createDataFrame(
+            [(pick(1, 2), pick(*"abcdefgh"), pick(*items), pick(None, None, "Unsure", "None")) for _ in range(n)], OVER
+        )
+
+    overlays = [(overlay(4), pick("left", "full")) for _ in range(3)]
+    labels = spark.createDataFrame([("cup", "mug, saucer,lid"), ("pot", " , "), ("phone", None), ("knife", "blade"), (None, "ghost")], "item string, new_item string")
+    categories = spark.createDataFrame([("mug", "Toy"), ("blade", "Tool"), ("knife-M", "Tool"), (None, "Nothing")], "item string, category string")
+    people = spark.createDataFrame([(1, "T", 3, "f", 0)], "subject long, site string, age int, sex string, wearer int")
+    times = spark.createDataFrame([(1, f, "10:00:00") for f in "abcg"], "subject long, frame string, ts string")
+    corrections, caps = overlay(5), pick((None, None, None), prep.PUBLISHED_CAPS)
+    got = prep.prepare(records, overlays, labels, corrections, "knife", RULES, categories, people, times, caps=caps)
+    assert values(got) == values(one_after_the_other(records, overlays, labels, corrections, categories, people, times, caps))
+
+
+def test_prepare_without_rules_and_with_durations(spark, make, values):
+    records = make(
+        "subject long, frame string, item string, none int, exclude int, unsure int, tool_meal int, tool_work int",
+        (1, "a", "knife", 0, 0, 0, 1, 0), (1, "b", "cup", 0, 0, 0, 0, 0),
+    )
+    nothing = make(OVER)
+    names = make("item string, new_item string, category string", ("cup", None, "Toy"), ("knife", None, "Tool"))
+    people = make("subject long, site string, age int, sex string, wearer int", (1, "T", 3, "f", 0))
+    times = make("subject long, frame string, ts string, duration double", (1, "a", "10:00:00", 5.0))
+    out = prep.prepare(records, [], names, nothing, "knife", [], names, people, times)
+    assert values(out.select("frame", "item", "category", "duration")) == [("a", "knife", "Tool", 5.0), ("b", "cup", "Toy", None)]
+
+
+def test_the_chain_shuffles_records_by_frame_once(spark):
+    from framewise.catalog import prep as catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.overlaid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        chain = catalog.fact(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    names = "hashpartitioning(subject#"
+    overlays = [line for line in plan.split("\n") if "Exchange" in line and names in line and "_turn" not in line]
+    assert plan.count("Window") == 1 and len(overlays) <= 2
+    assert "Exchange hashpartitioning(coalesce(item" not in chain.replace(" ", "") and "_part" in chain
+
+
+def test_heavy_and_null_items_are_dealt_over_parts(spark, values):
+    rows = [(1, str(i), "cup" if i % 3 == 0 else None if i % 3 == 1 else f"item {i}", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, REC)
+    labels = spark.createDataFrame([("cup", "mug"), ("cup", "jug"), (None, "void"), ("item 5", "five"), ("unused", "x")], "item string, new_item string")
+    assert joins.heavy_values(df, "item") == ["cup"] and joins.heavy_values(df.limit(100), "item") == []
+    want = joins.null_safe_join(df, labels, ["item"], "left")
+    for heavy in ([], ["cup"]):
+        assert values(joins.look_up(df, labels, "item", prep.KEYS, heavy), *want.columns) == values(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = joins.look_up(df, labels, "item", prep.KEYS, ["cup"])
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in dealt.groupBy(F.pmod(F.xxhash64(*prep.KEYS), F.lit(8)).alias("p"), "item").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("_part" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+    assert max(sizes) < 2 * 3000 / 3 / 4
+
+
+def test_analysis_view_with_a_domain(make, values):
+    fact = make(
+        "site string, item string, category string, reason string, ts timestamp",
+        ("R", "cup", "Toy", None, None), ("X", "cup", "Other", None, None), ("T", "cup", None, None, None), ("T", "p", "Toy", "None", None),
+    )
+    out = prep.analysis_view(fact, domain=Domain(sites=("T", "R"), categories=("Tool", "Toy")))
+    assert values(out, "site", "site_level", "category", "category_level") == [("R", 2, "Toy", 2), (None, None, None, None)]
+
+
 def test_duplicate_overlay_keys_give_all_their_rows(make, values):
     base = make(REC, (1, "a", "cup", None), (1, "a", "pot", None))
     overlay = make(OVER, (1, "a", "x", None), (1, "a", "y", None), (1, "a", "x", None))
