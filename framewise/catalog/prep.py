@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.catalog.common import PEOPLE, query, with_ctes
 from framewise.operators.joins import non_members
 from framewise.plans import prep
 from framewise.sources import bindings as b
+from framewise.sources import files
+from framewise.sources.stages import StageStore
 
 SEED = 11
 PATTERN = "ring"
@@ -180,6 +183,87 @@ def _records_as_items(s, d):
     return prep.split_items(raw(s, d))
 
 
+def _written_worklists(s, d):
+    """A worklist with rows is written and read back; one without any leaves nothing."""
+    rows = prep.worklist(raw(s, d), b.checked_unsure(s, d), prep.KEYS, F.col("reason") == "Unsure")
+    path = files.scratch_folder(s, "worklist")
+    parts = []
+    for name, todo in (("unsure", rows), ("checked again", rows.where(F.col("reason") != "Unsure"))):
+        target = f"{path}/{name.replace(' ', '-')}"
+        written = files.write_if_any(todo, target, "parquet")
+        found = s.read.parquet(target) if written else todo.limit(0)
+        count = found.agg(F.count(F.lit(1)).alias("n"))
+        parts.append(count.select(F.lit(name).alias("list"), "n", F.lit(int(written)).cast("long").alias("written")))
+    return parts[0].unionByName(parts[1])
+
+
+def _teed(s, d):
+    """What a sink hands back, stacked with what it wrote."""
+    path = files.scratch_folder(s, "tee")
+    kept = files.write_table(raw(s, d), path)
+    return kept.unionByName(s.read.parquet(path)).groupBy(*prep.RECORD).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _written_sources(s, d, path):
+    """The working tables as text files with headers."""
+    sources = {
+        "records": b.records(s, d), "labels": b.labels(s, d), "corrections": b.corrections(s, d),
+        "categories": b.categories(s, d), "people": b.people(s, d),
+        "timestamps": b.timestamps(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+    }
+    for name, df in sources.items():
+        files.write_table(df, f"{path}/{name}", "csv")
+
+
+# The orders' keys are numbers where the field files have names of images.
+LAYOUTS = {
+    "records": T.StructType([T.StructField("frame", T.LongType()) if f.name == "frame" else f for f in files.RECORDS.fields]),
+    "labels": files.schema(new_item="string", item="string"),
+    "corrections": files.schema(new_reason="string", new_item="string", frame="long", subject="long"),
+    "categories": files.CATEGORIES,
+    "people": files.schema(wearer="long", subject="long", site="string", age="long", sex="string"),
+    "timestamps": files.schema(ts="string", frame="long", subject="long"),
+}
+
+
+def _read_sources(s, path):
+    out = {name: files.read_annotations(s, f"{path}/{name}", layout) for name, layout in LAYOUTS.items()}
+    out["timestamps"] = out["timestamps"].withColumn("ts", F.to_timestamp_ntz("ts", F.lit("yyyy-MM-dd HH:mm:ss")))
+    return out
+
+
+def _fact_from_files(s, d):
+    """The clean fact from text files, bound by name in another order than they were written."""
+    path = files.scratch_folder(s, "sources")
+    _written_sources(s, d, path)
+    t = _read_sources(s, path)
+    return prep.prepare(
+        t["records"], overlays(s, d), t["labels"], t["corrections"], PATTERN, RULES,
+        t["categories"], t["people"], t["timestamps"], dropped(s, d),
+    )
+
+
+def _resumed_fact(s, d):
+    """The clean fact of a second run, which finds its first two stages stored."""
+    store = StageStore(s, files.scratch_folder(s, "stages"))
+
+    def run():
+        folded = store.stage("overlaid", lambda: overlaid(s, d), params=SEED)
+        named = store.stage(
+            "named", lambda df: prep.regularise_labels(prep.split_items(df), b.labels(s, d)), [folded], SEED
+        )
+        return folded, named
+
+    run()
+    folded, named = run()
+    if folded.computed or named.computed:
+        raise AssertionError("a stored stage was computed again")
+    rows = prep.apply_corrections(named.table, b.corrections(s, d))
+    rows = prep.relabel_by_frame(rows, b.records(s, d), PATTERN, RULES)
+    rows = prep.resolve_reasons(prep.assign_category(rows, b.categories(s, d)))
+    return prep.clean_fact(rows, b.people(s, d), b.timestamps(s, d), dropped(s, d))
+
+
 FACT_SQL = """SELECT DISTINCT site, b.subject, age, sex, wearer, b.frame, reason,
   CASE WHEN reason IS NULL THEN category END AS category, CASE WHEN reason IS NULL THEN item END AS item,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
@@ -231,6 +315,33 @@ QUERIES = {
 SELECT DISTINCT item FROM items i WHERE NOT EXISTS (
   SELECT 1 FROM labels_dict d WHERE d.item IS NOT DISTINCT FROM i.item)""",
     ),
+    "worklist_no_items": query(
+        lambda s, d: prep.worklist(overlaid(s, d), b.no_items(s, d), prep.KEYS, F.col("reason") == "None"),
+        ALL_STEPS + RECORD_SQL + """s_none WHERE reason = 'None'
+  AND (subject, frame) NOT IN (SELECT (subject, CASE WHEN frame % 2 = 0 THEN -frame ELSE frame END) FROM base_orders WHERE frame % 47 = 0)""",
+    ),
+    "worklist_categories": query(
+        lambda s, d: prep.worklist(
+            prep.regularise_labels(_records_as_items(s, d), b.labels(s, d)).where("reason is null").select("item").distinct(),
+            b.categories(s, d), ["item"], F.lit(True),
+        ),
+        with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw"), labels_sql("named", "items")) + """
+SELECT DISTINCT item FROM named n WHERE reason IS NULL AND NOT EXISTS (
+  SELECT 1 FROM categories_dict d WHERE d.item IS NOT DISTINCT FROM n.item)""",
+    ),
+    "worklist_written": query(
+        _written_worklists,
+        ALL_STEPS + """SELECT 'unsure' AS list, count(*) AS n, CAST(1 AS BIGINT) AS written FROM raw WHERE reason = 'Unsure'
+  AND (subject, frame) NOT IN (SELECT (subject, frame) FROM checked_unsure)
+UNION ALL SELECT 'checked again', 0, 0""",
+    ),
+    "tee_sink": query(
+        _teed,
+        with_ctes(RECORDS, RAW) + """SELECT subject, frame, item, reason, count(*) AS n FROM (
+  SELECT subject, frame, item, reason FROM raw UNION ALL SELECT subject, frame, item, reason FROM raw) GROUP BY ALL""",
+    ),
+    "clean_fact_from_files": query(_fact_from_files, ALL_STEPS + FACT_SQL),
+    "clean_fact_resumed": query(_resumed_fact, ALL_STEPS + FACT_SQL),
     "explode_list": query(
         _records_as_items,
         with_ctes(RECORDS, RAW, split_sql("items", "raw")) + RECORD_SQL + "items",

@@ -27,12 +27,21 @@ items AS (SELECT DISTINCT site, item, category FROM obs),
 seen AS (SELECT site, subject, item, count(DISTINCT frame) AS n, count(*) AS n_rows FROM obs GROUP BY ALL),
 exposure AS (
   SELECT s.site, i.item, i.category, count(*) AS n_all,
-         avg(coalesce(n, 0) / CAST(n_frames AS DOUBLE)) AS prop,
-         avg(coalesce(n_rows, 0) / CAST(n_frames AS DOUBLE)) AS prop_rows
+         CAST(sum(CAST(coalesce(n, 0) / CAST(n_frames AS DOUBLE) AS DECIMAL(20, 12))) AS DOUBLE) / count(*) AS prop,
+         CAST(sum(CAST(coalesce(n_rows, 0) / CAST(n_frames AS DOUBLE) AS DECIMAL(20, 12))) AS DOUBLE) / count(*) AS prop_rows
   FROM subjects s JOIN items i ON s.site = i.site
   LEFT JOIN seen ON seen.site = s.site AND seen.subject = s.subject AND seen.item = i.item
   GROUP BY s.site, i.item, i.category)"""
 
+EXPOSURE_OUT = """SELECT site, item, category, n_all, round(prop, 9) AS prop,
+  row_number() OVER (PARTITION BY site ORDER BY prop DESC, item) AS rank FROM exposure"""
+
+# The exposure measure under the names of the reach measure.
+BY_EXPOSURE = EXPOSURE + """,
+reach AS (SELECT site, item, category, prop FROM exposure),
+reach_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY prop DESC, item) AS rank FROM reach)"""
+
 REACH_TOP = with_ctes(OBS_ORDERS, REACH)
 
 NOT_STUDY = "item NOT IN ('blue ring', 'hot rod', 'old anvil')"
@@ -55,15 +64,15 @@ def _labels(names: str) -> str:
     return "CASE category " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in pairs) + " END"
 
 
-def _panel_sql(n: int, label: str, extra: str = "") -> str:
-    return with_ctes(OBS_ORDERS, REACH, BOTH.format(n=n, extra=extra)) + (
+def _panel_sql(n: int, label: str, extra: str = "", measure: str = REACH) -> str:
+    return with_ctes(OBS_ORDERS, measure, BOTH.format(n=n, extra=extra)) + (
         "SELECT site, item, category, rank, in_both, round(prop, 9) AS prop, "
         f"round(prop * 100, 9) AS y, {label} AS label FROM picked WHERE rank <= {n}"
     )
 
 
-def _table_sql(n: int, extra: str) -> str:
-    return with_ctes(OBS_ORDERS, REACH) + f"""
+def _table_sql(n: int, extra: str, measure: str = REACH) -> str:
+    return with_ctes(OBS_ORDERS, measure) + f"""
 SELECT {STRIPPED} AS item, category, rank, round_even(prop * 100, 1) AS pct FROM (
   SELECT *, row_number() OVER (ORDER BY prop DESC, item, site) AS rank
   FROM reach WHERE {NOT_STUDY} {extra}) WHERE rank <= {n}"""
@@ -105,14 +114,12 @@ QUERIES = {
         REACH_TOP + "SELECT site, item, category, n_subjects, n_all, round(prop, 9) AS prop, rank FROM reach_ranked",
     ),
     "item_exposure": query(
-        lambda s, d: rank.item_exposure(obs_orders(s, d)).select("site", "item", "category", "n_all", "prop"),
-        with_ctes(OBS_ORDERS, EXPOSURE)
-        + "SELECT site, item, category, n_all, round(prop, 9) AS prop FROM exposure",
+        lambda s, d: rank.item_exposure(obs_orders(s, d)),
+        with_ctes(OBS_ORDERS, EXPOSURE) + EXPOSURE_OUT,
     ),
     "item_exposure_events": query(
-        lambda s, d: rank.item_exposure(obs_events(s, d, "day")).select("site", "item", "category", "n_all", "prop"),
-        with_ctes(EV_DAY, EXPOSURE)
-        + "SELECT site, item, category, n_all, round(prop, 9) AS prop FROM exposure",
+        lambda s, d: rank.item_exposure(obs_events(s, d, "day")),
+        with_ctes(EV_DAY, EXPOSURE) + EXPOSURE_OUT,
     ),
     "item_distribution": query(
         lambda s, d: rank.item_distribution(obs_orders(s, d), ORDERS_DOMAIN.excluded_items),
@@ -177,6 +184,21 @@ SELECT * FROM panel WHERE subject IN (
         ),
         _table_sql(5, "AND site = 'EUROPE' AND category = 'old'"),
     ),
+    "top_items_exposure": query(
+        lambda s, d: rank.top_items(rank.item_exposure(obs_orders(s, d)), 25, ORDERS_DOMAIN, ORDERS_DOMAIN.sites),
+        _panel_sql(25, f"{SENTENCE} || ' (' || {_labels(ORDERS_DOMAIN.labels)} || ')'", measure=BY_EXPOSURE),
+    ),
+    "top_items_table_exposure": query(
+        lambda s, d: rank.top_items_table(rank.item_exposure(obs_orders(s, d)), 30, ORDERS_DOMAIN, ORDERS_DOMAIN.sites),
+        _table_sql(30, "AND site IN ('ASIA', 'EUROPE')", BY_EXPOSURE),
+    ),
+    "item_distribution_by_item": query(
+        lambda s, d: rank.item_distribution(obs_events(s, d, "day"), by=["item"]),
+        with_ctes(EV_DAY) + """SELECT site, subject, age, item, n, total, round(n / CAST(total AS DOUBLE) * 100, 9) AS prop,
+  row_number() OVER (PARTITION BY site, subject, age ORDER BY n DESC, item) AS rank FROM (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY site, subject, age) AS BIGINT) AS total FROM (
+    SELECT site, subject, age, item, count(*) AS n FROM obs GROUP BY ALL))""",
+    ),
     "top3_by_reach": query(
         lambda s, d: rank.top3_by_reach(obs_orders(s, d), ORDERS_DOMAIN),
         with_ctes(OBS_ORDERS, KEPT, _top3_sql(BY_REACH)) + "SELECT * FROM tops",
@@ -195,7 +217,7 @@ SELECT * FROM panel WHERE subject IN (
 SELECT c.*, "ASIA" AS "top_ASIA", "EUROPE" AS "top_EUROPE", {_labels(ORDERS_DOMAIN.labels).replace('category', 'c.category')} AS label
 FROM (SELECT category, count(DISTINCT CASE WHEN site = 'ASIA' THEN item END) AS "n_ASIA",
         count(DISTINCT CASE WHEN site = 'EUROPE' THEN item END) AS "n_EUROPE" FROM obs GROUP BY category) c
-JOIN tops ON tops.category = c.category""",
+LEFT JOIN tops ON tops.category = c.category""",
     ),
     "uncommon_items": query(
         lambda s, d: rank.uncommon_items(rank.item_reach(obs_orders(s, d)), (1, 190)),

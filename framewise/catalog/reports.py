@@ -105,16 +105,6 @@ per AS (SELECT coalesce(f.site, 'All') AS site, count(DISTINCT (f.subject, f.fra
 SELECT *, round(n_excluded / CAST(n_coded AS DOUBLE) * 100, 9) AS pct_excluded FROM per""",
     ),
     "unusable_subjects": query(
-        lambda s, d: report.unusable_subjects(
-            b.events_fact(s, d, "day").where("site = 'A' or reason is not null")
-        ),
-        with_ctes(EV_DAY) + """, part_fact AS (SELECT * FROM fact WHERE site = 'A' OR reason IS NOT NULL),
-bad AS (SELECT DISTINCT subject, frame FROM part_fact WHERE reason IS NOT NULL)
-SELECT subject, n_excluded, n_frames FROM (
-  SELECT subject, count(*) FILTER ((subject, frame) IN (SELECT (subject, frame) FROM bad)) AS n_excluded,
-    count(DISTINCT frame) AS n_frames FROM part_fact GROUP BY subject) WHERE n_excluded = n_frames""",
-    ),
-    "unusable_subjects_whole": query(
         lambda s, d: report.unusable_subjects(_lost_fact(s, d)),
         with_ctes(EV_DAY) + """, whole AS (
   SELECT DISTINCT subject, frame, CASE WHEN subject % 7 = 0 THEN 'Exclude' ELSE reason END AS reason,

@@ -61,11 +61,12 @@ def item_exposure(view: DataFrame, measure: str = "frames") -> DataFrame:
     """Per site: mean over all subjects of the share of frames with each item, ranked.
 
     Subjects without the item count as 0.  The sum of shares over the number of subjects
-    equals the mean of the zero-filled table, which is never built.
+    equals the mean of the zero-filled table, which is never built.  Shares are added as
+    decimals of 12 digits, so ranks do not depend on the order of addition.
     """
     shares = _subject_shares(view, measure)
     sums = shares.groupBy("site", *ITEM, "_subjects").agg(
-        F.sum("_share").alias("_sum"), F.sum("_subjects").alias("_n")
+        F.sum(F.col("_share").cast("decimal(20,12)")).cast("double").alias("_sum"), F.sum("_subjects").alias("_n")
     )
     n_all = F.max("_n").over(Window.partitionBy("site"))
     means = (
@@ -73,8 +74,6 @@ def item_exposure(view: DataFrame, measure: str = "frames") -> DataFrame:
         .where(F.col("_subjects") == 0)
         .withColumn("prop", share(F.col("_sum"), F.col("n_all")))
     )
-    # sums of shares differ in their last digits with the order of addition; ranks must not
-    means = means.withColumn("prop", F.round("prop", 12))
     return rank_rows(means, ["site"], _by("prop")).select("site", *ITEM, "n_all", "prop", "rank")
 
 
