@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framewise.catalog.common import EV_DAY, EV_HOUR, OBS_ORDERS, query, with_ctes
 from framewise.domain import ordinal
 from framewise.functions import nulls, text
-from framewise.operators import joins, ordered, reshape
+from framewise.operators import counts, joins, ordered, reshape
 from framewise.plans.prep import analysis_view
 from framewise.sources import files
 from framewise.sources.bindings import (
@@ -176,7 +176,59 @@ def _running(s, d):
     return ordered.running_total(days, ["o_orderpriority"], "day", "n")
 
 
+ITEM_LEVELS = {"hour": ["site", "subject", "age", "hour"], "subject": ["site", "subject", "age"], "site": ["site"]}
+
+
+def _approx_items(s, d):
+    """Distinct frames per site: the exact count beside whether the merged sketches are near it."""
+    view = obs_events(s, d, "hour").withColumn("seen", F.xxhash64("subject", "frame", "item"))
+    state = counts.sketches(view, ["site", "subject"], distinct=["seen"])
+    path = files.scratch_folder(s, "sketches")
+    files.write_table(state, path)
+    rough = counts.merged(s.read.parquet(path).drop("subject"), ["site"])
+    rough = rough.select("site", counts.approx_distinct("seen").alias("guess"))
+    exact = counts.distinct_levels(view, {"site": ["site"]}, "seen").drop("level")
+    near = F.abs(F.col("guess") - F.col("n")) <= 4 * counts.HLL_ERROR * F.col("n")
+    return joins.null_safe_join(exact, rough, ["site"], "inner").select("site", "n", near.cast("long").alias("near"))
+
+
+def _approx_quantiles(s, d):
+    """Whether the rank of each approximate quantile, from merged sketches, is near the asked one."""
+    rows = table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    state = counts.sketches(rows, ["l_returnflag", "l_linestatus"], quantiles=["l_extendedprice"])
+    rough = counts.merged(state.drop("l_linestatus"), ["l_returnflag"])
+    asked = {"q05": 0.05, "median": 0.5, "q95": 0.95}
+    rough = rough.select("l_returnflag", *[counts.approx_quantile("l_extendedprice", p).alias(f"{q}_at") for q, p in asked.items()])
+    below = [F.avg((F.col("l_extendedprice") <= F.col(f"{q}_at")).cast("double")).alias(q) for q in asked]
+    ranks = joins.null_safe_join(rows, rough, ["l_returnflag"], "inner").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *below)
+    near = [(F.abs(F.col(q) - p) <= 2 * counts.KLL_ERROR).cast("long").alias(q) for q, p in asked.items()]
+    return ranks.select("l_returnflag", "n", *near)
+
+
 QUERIES = {
+    "distinct_items_levels": query(
+        lambda s, d: counts.distinct_levels(obs_events(s, d, "hour"), ITEM_LEVELS, "item"),
+        with_ctes(EV_HOUR) + """SELECT 'hour' AS level, site, subject, age, hour, count(DISTINCT item) AS n FROM obs GROUP BY ALL
+UNION ALL SELECT 'subject', site, subject, age, NULL, count(DISTINCT item) FROM obs GROUP BY ALL
+UNION ALL SELECT 'site', site, NULL, NULL, NULL, count(DISTINCT item) FROM obs GROUP BY ALL""",
+    ),
+    "distinct_subjects_levels": query(
+        lambda s, d: counts.distinct_levels(
+            obs_orders(s, d), {"item": ["site", "item"], "site": ["site"], "all": []}, "subject"
+        ),
+        with_ctes(OBS_ORDERS) + """SELECT 'item' AS level, site, item, count(DISTINCT subject) AS n FROM obs GROUP BY ALL
+UNION ALL SELECT 'site', site, NULL, count(DISTINCT subject) FROM obs GROUP BY ALL
+UNION ALL SELECT 'all', NULL, NULL, count(DISTINCT subject) FROM obs""",
+    ),
+    "approx_distinct": query(
+        _approx_items,
+        with_ctes(EV_HOUR) + "SELECT site, count(DISTINCT (subject, frame, item)) AS n, CAST(1 AS BIGINT) AS near FROM obs GROUP BY site",
+    ),
+    "approx_quantiles": query(
+        _approx_quantiles,
+        """SELECT l_returnflag, count(*) AS n, CAST(1 AS BIGINT) AS q05, CAST(1 AS BIGINT) AS median, CAST(1 AS BIGINT) AS q95
+FROM lineitem GROUP BY l_returnflag""",
+    ),
     "csv_roundtrip": query(
         _csv_roundtrip,
         "SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderpriority, '5-LOW') AS priority FROM orders",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewise.domain import Domain
 from framewise.functions.nulls import half_even, share
 from framewise.functions.text import sentence_case, strip_first
+from framewise.operators.counts import WHOLE, distinct_levels
 from framewise.operators.joins import null_safe_join, outside
 from framewise.operators.ordered import rank_rows
 from framewise.operators.reshape import widen
@@ -22,8 +23,13 @@ def _by(value: str) -> list[Column]:
 def _with_total(view: DataFrame, outer: list[str], inner: list[str], counted: str) -> DataFrame:
     """Distinct ``counted`` per (outer, inner) as ``n`` beside that of ``outer`` as ``total``.
 
-    Both levels come from one scan by grouping sets; the window only sees aggregates.
+    Both levels come from one scan: whole numbers as bit words that roll up, other values by
+    grouping sets over the rows.  The window only sees aggregates.
     """
+    if isinstance(view.schema[counted].dataType, WHOLE):
+        levels = distinct_levels(view, {"inner": outer + inner, "outer": outer}, counted)
+        total = F.max(F.when(F.col("level") == "outer", F.col("n"))).over(Window.partitionBy(*outer))
+        return levels.withColumn("total", total).where(F.col("level") == "inner").drop("level")
     sets = view.groupingSets([outer + inner, outer], *outer, *inner).agg(
         F.count_distinct(counted).alias("n"), F.grouping(inner[0]).alias("_is_total")
     )
