@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from framewise.llm.common import partitions, table
 
-EMPTY = 0  # slot without k-mers
+EMPTY = 0  # slot of a text without words
+FEW = 8  # texts of fewer words go by characters
+CHUNK = 1 << 17  # k-mers handled at a time
 BATCH_CHARS = 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,57 +28,104 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def signatures(texts: list[str], k: int, length: int, slots: int) -> np.ndarray:
-    """Signatures of all texts, ``slots`` 32-bit values each (0: no k-mer fell into the slot).
+def orders(slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Constants of each slot's own order of 64-bit values: ``(value ^ b) * a`` with a odd."""
+    i = np.arange(slots, dtype=np.uint64)
+    return mix(i * ODD + np.uint64(1)) | np.uint64(1), mix(i * ODD + np.uint64(2))
+
 
-    A k-mer is ``k`` successive words (a shorter text is one k-mer) together with its occurrence
-    number in the text.  Its hash deals it into a slot; of each slot the ``length`` smallest hashes
-    stay, are put back into text order, and the ordered tuple of their k-mers is hashed.
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens and how many each text has.
+
+    Tokens are words; a text of fewer than ``FEW`` words has its characters instead.
     """
     lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
     flat = lists.flatten()
     keep = pc.not_equal(flat, "")
     owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[keep.to_numpy(zero_copy_only=False)]
     words = flat.filter(keep).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)[words.indices.to_numpy()]
+    table_ = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+    hashes = table_[words.indices.to_numpy()] if len(table_) else np.zeros(0, np.uint64)
     sizes = np.bincount(owner, minlength=len(texts))
-    starts = np.cumsum(sizes) - sizes
+    few = (sizes < FEW) & (sizes > 0)
+    if not few.any():
+        return hashes, sizes
+    parts = np.split(hashes, np.cumsum(sizes)[:-1])
+    for i in np.flatnonzero(few):
+        codes = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), "<u4")
+        parts[i] = mix(codes.astype(np.uint64) + np.uint64(1 << 32))
+    return np.concatenate(parts), np.array([len(p) for p in parts])
 
-    n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))  # k-mers of each text
-    doc = np.repeat(np.arange(len(texts)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[doc] + place
+
+def kmers(hashes: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all texts' occurrence-numbered k-mers in text order, and how many each text has.
+
+    A k-mer is ``k`` successive tokens (a shorter text is one k-mer) with its occurrence number.
+    """
+    starts = np.cumsum(sizes) - sizes
+    n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+    doc = np.repeat(np.arange(len(sizes)), n)
+    at = starts[doc] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     kmer = np.zeros(len(at), np.uint64)
     for i in range(k):
         inside = i < sizes[doc]
-        kmer = mix(kmer * ODD + np.where(inside, hashes[np.minimum(at + i, max(len(hashes) - 1, 0))], np.uint64(i)) if len(hashes) else kmer)
-
-    # occurrence numbers: equal k-mers of a text stand together, in text order
+        kmer = mix(kmer * ODD + np.where(inside, hashes[np.minimum(at + i, len(hashes) - 1)], np.uint64(i))) if len(at) else kmer
+    # equal k-mers of a text stand together, in text order
     order = np.lexsort((kmer, doc))
-    same = np.concatenate([[False], (doc[order][1:] == doc[order][:-1]) & (kmer[order][1:] == kmer[order][:-1])])
-    run = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.zeros(0, np.int64)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (kmer[order][1:] != kmer[order][:-1])
     number = np.empty(len(order), np.uint64)
-    number[order] = run.astype(np.uint64)
-    value = mix(kmer + number * ODD)
-
-    slot = doc * slots + (value % np.uint64(slots)).astype(np.int64)
-    order = np.lexsort((value, slot))
-    slot, value, place = slot[order], value[order], place[order]
-    first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
-    rank = np.arange(len(slot)) - np.maximum.accumulate(np.where(first, np.arange(len(slot)), 0)) if len(slot) else slot
-    small = rank < length
-    slot, value, place = slot[small], value[small], place[small]
-    order = np.lexsort((place, slot))
-    slot, value = slot[order], value[order]
-    first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
-    rank = np.arange(len(slot)) - np.maximum.accumulate(np.where(first, np.arange(len(slot)), 0)) if len(slot) else slot
-    out = np.zeros(len(texts) * slots, np.uint64)
+    run = np.arange(len(order))
+    number[order] = (run - np.maximum.accumulate(np.where(fresh, run, 0))).astype(np.uint64)
+    return mix(kmer + number * ODD), n
+
+
+def signatures(texts: list[str], k: int, length: int, slots: int) -> np.ndarray:
+    """Signatures of all texts, ``slots`` 32-bit values each (all 0: a text without words).
+
+    Each slot orders all occurrence-numbered k-mers of the whole text in a way of its own.  Its
+    ``length`` smallest are put back into text order, and the ordered tuple is hashed.
+    """
+    value, n = kmers(*tokens(texts), k)
+    ends = np.cumsum(n)
+    out = np.zeros((len(texts), slots), np.uint32)
+    a, b = orders(slots)
+    lo = 0
+    while lo < len(texts):  # some texts at a time, so that a slot's work stays in the cache
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + CHUNK, "right")))
+        rows = lo + np.flatnonzero(n[lo:hi])
+        part = value[ends[lo] - n[lo] : ends[hi - 1]]
+        lo = hi
+        if not len(rows):
+            continue
+        out[rows] = _slots(part, n[rows], a, b, length)
+    return out
+
+
+def _slots(value: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """All slots of texts whose k-mers stand one after the other, ``size`` of each."""
+    starts, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    places = np.full((len(a), length, len(size)), len(value), np.int64)
+    enough = [size > r for r in range(length)]
+    for s in range(len(a)):
+        rank = (value ^ b[s]) * a[s]
+        for r in range(length):
+            least = np.minimum.reduceat(rank, starts)
+            hit = np.flatnonzero(rank == least[owner])
+            if len(hit) == len(size) and enough[r].all():
+                places[s, r] = hit
+                rank[hit] = top
+            else:  # ties, of which the first is taken, or texts with fewer k-mers
+                hit = hit[enough[r][owner[hit]]][::-1]
+                places[s, r, owner[hit]] = hit
+                rank[places[s, r][enough[r]]] = top
+    places.sort(axis=1)
+    value = np.append(value, np.uint64(0))
+    h = np.zeros((len(a), len(size)), np.uint64)
     for r in range(length):
-        here = slot[rank == r]
-        out[here] = mix(out[here] * ODD + value[rank == r] + np.uint64(1))
-    found = (out >> np.uint64(32)).astype(np.uint32)
-    found[(out != 0) & (found == EMPTY)] = 1
-    return found.reshape(len(texts), slots)
+        h = np.where(places[:, r] < len(value) - 1, mix(h * ODD + value[places[:, r]] + np.uint64(1)), h)
+    return np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32).T
 
 
 def as_text(signature: np.ndarray) -> str:
@@ -137,14 +186,15 @@ def printer(k: int, length: int, slots: int):
 
 def fingerprint_edits(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    k: int = 2, length: int = 2, slots: int = 128, rows_per_bucket: int = 2000,
+    k: int = 2, length: int = 2, slots: int = 128, rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Fingerprints of every text and of its edited text, and two likenesses.
 
     The edited text has its last half replaced by the start of the next document by id (after the
     last the first).  Documents are dealt into buckets by quantiles of the id; the first document
     of each bucket also closes the bucket before it, so neighbours meet although each bucket is a
-    sorted stream of its own.  The driver holds one id a bucket.
+    sorted stream of its own, whatever its length.  There are four buckets a shuffle partition (or
+    one every ``rows_per_bucket`` rows), and the driver holds one id a bucket.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``.  Defined cases: NULL text is empty; rows without id come first; rows of one id
@@ -157,7 +207,7 @@ def fingerprint_edits(
     n = ids.count()
     if not n:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    buckets = max(4 * partitions(spark), -(-n // rows_per_bucket))
+    buckets = -(-n // rows_per_bucket) if rows_per_bucket else 4 * partitions(spark)
     cuts = ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
     cuts = np.array(sorted(set(cuts)), np.int64)
 

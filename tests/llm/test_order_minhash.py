@@ -3,9 +3,11 @@
 import hashlib
 
 import numpy as np
+import pytest
 import xxhash
 
-from framewise.llm.order_minhash import ODD, as_text, edited, fingerprint_edits, likeness, mix, op7_order_minhash, signatures
+from framewise.llm import order_minhash
+from framewise.llm.order_minhash import FEW, ODD, as_text, edited, fingerprint_edits, likeness, mix, op7_order_minhash, orders, signatures
 
 FOLDER = "/root/testdata/sf0.001"
 K, LENGTH, SLOTS = 2, 2, 128
@@ -15,27 +17,55 @@ def word(x):
     return np.array([x], np.uint64)
 
 
-def plain_signature(text):
-    """One text at a time: every k-mer with its occurrence number, dealt, ordered and hashed."""
-    words, seen, slots = text.split(), {}, {}
-    runs = [words[i : i + K] for i in range(len(words) - K + 1)] or ([words] if words else [])
-    for place, run in enumerate(runs):
+def plain_signature(text, slots=SLOTS):
+    """One text and one slot at a time: every k-mer with its occurrence number, ordered, picked and hashed."""
+    words = text.split()
+    marks = [xxhash.xxh64_intdigest(w) for w in words]
+    if 0 < len(words) < FEW:
+        marks = [int(mix(word(ord(c) + (1 << 32)))[0]) for c in text]
+    runs = [marks[i : i + K] for i in range(len(marks) - K + 1)] or ([marks] if marks else [])
+    seen, values = {}, []
+    for run in runs:
         h = word(0)
         for i in range(K):
-            part = word(xxhash.xxh64_intdigest(run[i])) if i < len(run) else word(i)
-            h = mix(h * ODD + part)
+            h = mix(h * ODD + (word(run[i]) if i < len(run) else word(i)))
         number = seen[tuple(run)] = seen.get(tuple(run), -1) + 1
-        value = int(mix(h + word(number) * ODD)[0])
-        slots.setdefault(value % SLOTS, []).append((value, place))
-    out = np.zeros(SLOTS, np.uint32)
-    for s, found in slots.items():
+        values.append(int(mix(h + word(number) * ODD)[0]))
+    out = np.zeros(slots, np.uint32)
+    a, b = orders(slots)
+    for s in range(slots if values else 0):
+        ranked = sorted(range(len(values)), key=lambda p: (values[p] ^ int(b[s])) * int(a[s]) % (1 << 64))
         h = word(0)
-        for value, _ in sorted(sorted(found)[:LENGTH], key=lambda x: x[1]):
-            h = mix(h * ODD + word(value) + np.uint64(1))
+        for p in sorted(ranked[:LENGTH]):
+            h = mix(h * ODD + word(values[p]) + np.uint64(1))
         out[s] = max(1, int(h[0]) >> 32)
     return out
 
 
+@pytest.mark.parametrize("n", [20, 80, 128, 250, 2000])
+def test_swapped_halves_keep_about_half(n):
+    words = [f"w{i}" for i in range(n)]
+    a, b = (signatures([" ".join(w)], K, LENGTH, 512) for w in (words, words[n // 2 :] + words[: n // 2]))
+    assert (a > 0).all() and 0.38 < likeness(a, b)[0] < 0.6
+
+
+def test_short_and_unspaced_texts_are_ordered_by_characters():
+    unspaced = "日本語の文章には空白がないので文字で数える必要がある"
+    a, b, c = (signatures([t], K, LENGTH, 512) for t in (unspaced, unspaced[12:] + unspaced[:12], unspaced[:-1]))
+    assert 0.3 < likeness(a, b)[0] < 0.65 and likeness(a, c)[0] > 0.75
+
+
+def test_signatures_equal_the_plain_form():
+    rng = np.random.default_rng(1)
+    texts = ["", " ", "a", "ab", "one two", "x " * 500, "😀 b", "\ud800 lone"] + [
+        " ".join(f"w{i}" for i in rng.integers(0, 30, rng.integers(1, 300))) for _ in range(40)
+    ]
+    texts.remove("\ud800 lone")
+    for chunk in (1, 100, 1 << 15):
+        order_minhash.CHUNK = chunk
+        assert (signatures(texts, K, LENGTH, 16) == np.stack([plain_signature(t, 16) for t in texts])).all()
+
+
 def test_op7_equals_plain_version(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect())
     want = []
@@ -55,7 +85,7 @@ def test_order_matters_and_copies_agree():
     c = " ".join(f"v{i}" for i in range(400))
     prints = signatures([a, a, b, c, "", " \n"], K, LENGTH, SLOTS)
     assert (prints[0] == prints[1]).all()
-    assert likeness(prints[:1], prints[2:3])[0] < 0.8 and likeness(prints[:1], prints[3:4])[0] < 0.05
+    assert likeness(prints[:1], prints[2:3])[0] < 0.65 and likeness(prints[:1], prints[3:4])[0] < 0.05
     assert likeness(prints[4:5], prints[5:6])[0] == 1 and likeness(prints[:1], prints[4:5])[0] == 0
 
 
