@@ -36,39 +36,51 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return joined.select(*key_columns, *rest)
 
 
-def heavy_values(df: DataFrame, key: str, slices: int | None = None, sample: int = 64) -> list:
-    """Values of ``key``, NULL aside, that hold more than a shuffle partition's share of the rows.
+def heavy_groups(df: DataFrame, keys: list[str], slices: int | None = None, sample: int = 64) -> list[tuple]:
+    """Values of ``keys`` that hold more than a shuffle partition's share of the rows.
 
     Read from ``slices`` (default: the shuffle partitions) times ``sample`` random rows, however
     large the table; at most ``slices`` values.  A smaller table has none.
     """
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = df.select(F.col(f"`{key}`").alias("k")).orderBy(F.rand(7)).limit(slices * sample).collect()
+    drawn = df.select(*[F.col(f"`{k}`") for k in keys]).orderBy(F.rand(7)).limit(slices * sample).collect()
     if len(drawn) < slices * sample:
         return []
-    counts = Counter(r["k"] for r in drawn)
-    return sorted(k for k, n in counts.items() if k is not None and n > sample)
+    return [key for key, n in Counter(tuple(r) for r in drawn).items() if n > sample]
 
 
-def look_up(
-    df: DataFrame, dictionary: DataFrame, key: str, spread: list[str], heavy: list, copies: int | None = None
+def heavy_values(df: DataFrame, key: str, slices: int | None = None, sample: int = 64) -> list:
+    """``heavy_groups`` of one column, without NULL."""
+    return sorted(k for (k,) in heavy_groups(df, [key], slices, sample) if k is not None)
+
+
+def spread_join(
+    df: DataFrame, small: DataFrame, keys: list[str], how: str, spread: list[str], heavy: list[tuple],
+    copies: int | None = None,
 ) -> DataFrame:
-    """Left join with a dictionary on ``key``, in which NULL matches NULL.
+    """Join with a table of few rows per key, in which NULL keys match.
 
-    Rows whose key is NULL or ``heavy`` are dealt over ``copies`` (default: the shuffle partitions)
-    parts by a hash of their ``spread`` columns, and those entries of the dictionary go to all
-    parts, so no key is one partition; other entries go to one part.  The parts only matter where
-    Spark shuffles; a small dictionary is broadcast as before.
+    Rows with a ``heavy`` key are dealt over ``copies`` (default: the shuffle partitions) parts by a
+    hash of their ``spread`` columns, and the other side's rows of that key go to all parts, so no
+    key is one partition; all else goes to one part.  The parts only matter where Spark shuffles: a
+    small side is broadcast as before.
     """
     copies = copies or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = F.col(f"`{key}`").isNull()
-    if heavy:
-        dealt = dealt | F.col(f"`{key}`").isin(heavy)
+    dealt = F.lit(False)
+    for values in heavy:
+        same = [F.col(f"`{k}`").isNull() if v is None else F.col(f"`{k}`").eqNullSafe(F.lit(v)) for k, v in zip(keys, values)]
+        dealt = dealt | reduce(lambda a, b: a & b, same, F.lit(True))
     part = F.when(dealt, F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int")).otherwise(0)
     parts = F.when(dealt, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
-    rows = df.withColumn("_part", part)
-    entries = dictionary.withColumn("_part", F.explode(parts))
-    return null_safe_join(rows, entries, [key, "_part"], "left").drop("_part")
+    joined = null_safe_join(df.withColumn("_part", part), small.withColumn("_part", F.explode(parts)), [*keys, "_part"], how)
+    return joined.drop("_part")
+
+
+def look_up(
+    df: DataFrame, dictionary: DataFrame, key: str, spread: list[str], heavy: list, copies: int | None = None
+) -> DataFrame:
+    """Left join with a dictionary on ``key``; NULL, which matches NULL, and ``heavy`` values are spread."""
+    return spread_join(df, dictionary, [key], "left", spread, [(None,), *[(v,) for v in heavy]], copies)
 
 
 def members(df: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.text import split_capped
-from framewise.operators.joins import null_safe_join
+from framewise.operators.joins import heavy_groups, spread_join
+
+
+CHUNKS = 8  # of a domain
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -60,15 +63,18 @@ def complete(
     """Add the missing ``rows`` x ``columns`` pairs inside each group, with filled values.
 
     ``df`` has one row per (group, rows, columns).  The cells of a ``rows`` key are packed
-    into a map and the group's ``columns`` domain into an array (both at most the
-    vocabulary); the array unfolds beside the map, so the completed pairs are produced in
-    place and never shuffled.
+    into a map and the group's ``columns`` domain into chunks of an array (all at most the
+    vocabulary); each chunk unfolds beside the map, so the completed pairs are produced in
+    place and never shuffled.  A group that holds many rows is dealt over parts by its ``rows``
+    keys, and its chunks go to all parts.
     """
     values = [c for c in df.columns if c not in (*group, rows, columns)]
     cell = F.struct(F.struct(columns), F.struct(*values))  # a struct may hold NULL as a key
     packed = df.groupBy(*group, rows).agg(F.map_from_entries(F.collect_list(cell)).alias("_cells"))
-    domain = df.groupBy(*group).agg(F.collect_set(F.struct(columns)).alias("_domain"))
-    pairs = null_safe_join(packed, domain, group, "inner").select(
+    chunk = F.pmod(F.xxhash64(columns), F.lit(CHUNKS)).alias("_chunk")
+    domain = df.select(*group, columns).distinct().groupBy(*group, chunk)
+    domain = domain.agg(F.collect_list(F.struct(columns)).alias("_domain")).drop("_chunk")
+    pairs = spread_join(packed, domain, group, "inner", [rows], heavy_groups(df, group)).select(
         *group, rows, "_cells", F.explode("_domain").alias("_column")
     )
     found = F.try_element_at("_cells", F.col("_column"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.domain import Domain
 from framewise.functions.nulls import share
-from framewise.operators.joins import null_safe_join
+from framewise.operators.joins import heavy_groups, null_safe_join, spread_join
 from framewise.operators.ordered import quantiles
 from framewise.operators.reshape import widen
 from framewise.plans.rates import category_share
@@ -173,7 +173,7 @@ def box_summary(
         values, group, column, {"lower": 0.25, "middle": 0.5, "upper": 0.75}, width
     )
     y, margin = F.col(column), reach * (F.col("upper") - F.col("lower"))
-    rows = null_safe_join(values, boxes, group, "inner")
+    rows = spread_join(values, boxes, group, "inner", [column], heavy_groups(values, group))
     return rows.groupBy(*group, "n", "lower", "middle", "upper").agg(
         F.min(F.when(y >= F.col("lower") - margin, y)).cast("double").alias("ymin"),
         F.max(F.when(y <= F.col("upper") + margin, y)).cast("double").alias("ymax"),

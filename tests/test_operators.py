@@ -63,6 +63,28 @@ def test_melt_and_widen(make, values):
     assert values(wide) == [(1, 1, None, None)]
 
 
+def test_complete_of_a_hot_group_is_spread(spark, values):
+    rows = [("hot", i % 400, f"item {(i * 7) % 30}", i) for i in range(2000)] + [(None, 1, "x", 5), ("small", 2, "y", 6), ("small", 3, None, 7)]
+    df = spark.createDataFrame(rows, "site string, s int, item string, n int").dropDuplicates(["site", "s", "item"])
+    want = set()
+    sites = {r[0] for r in rows}
+    cells = {(r.site, r.s, r.item): r.n for r in df.collect()}
+    for site in sites:
+        for s in {r[1] for r in rows if r[0] == site}:
+            want |= {(site, s, item, cells.get((site, s, item), 0)) for item in {r[2] for r in rows if r[0] == site}}
+    assert joins.heavy_groups(df, ["site"]) == [("hot",)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = reshape.complete(df, ["site"], "s", "item", {"n": 0})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    keyed = [line.split("hashpartitioning(")[1].split(", 8,")[0] for line in plan.split("\n") if "hashpartitioning(" in line]
+    assert keyed and all("," in k and ("_part" in k or "s#" in k or "item" in k or "groupingexpression" in k) for k in keyed)
+
+
 def test_complete_stays_inside_the_group(make, values):
     df = make("site string, s int, item string, n int", ("A", 1, "x", 4), ("A", 2, "y", 1), ("B", 3, "z", 2))
     out = reshape.complete(df, ["site"], "s", "item", {"n": 0})
