@@ -23,7 +23,7 @@ RECORDS = (
 URN = "urn:framewise:page:"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = b"\r\n\r\n"
-MAX_HEAD = 1 << 20
+HEAD_STEP = 1 << 16
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -147,12 +147,13 @@ class RecordParser:
 
     def _head(self, data: memoryview, first: str | None) -> memoryview | None:
         """Collect a head up to its empty line; what follows, or None while it is incomplete."""
-        before = len(self.buffer)
-        self.buffer += bytes(data[:MAX_HEAD])
-        at = self.buffer.find(END)
+        before, taken, at = len(self.buffer), 0, -1
+        while at < 0 and taken < len(data):
+            step = bytes(data[taken : taken + HEAD_STEP])
+            taken += len(step)
+            self.buffer += step
+            at = self.buffer.find(END, max(0, len(self.buffer) - len(step) - len(END) + 1))
         if at < 0:
-            if len(self.buffer) >= MAX_HEAD:
-                raise ValueError("a record head has no end")
             return None
         if first:
             lines = self.buffer[:at].decode().split("\r\n")

@@ -51,6 +51,13 @@ def test_lines_edge_rows(spark):
     assert {r.n_dropped for r in dedup_lines(docs, min_docs=4).collect()} == {0}
 
 
+def test_a_url_of_any_length_is_read_back(spark, tmp_path):
+    urls = {1: "http://a/" + "x" * 2_000_000, 2: "http://b/\u00e9" * 150_000, 3: "http://c"}
+    pages = spark.createDataFrame([(i, u, "text" * i) for i, u in urls.items()], "page_id long, url string, html string")
+    write_archives(pages, str(tmp_path / "w"))
+    assert {r.page_id: r.url for r in read_archives(spark, str(tmp_path / "w")).collect()} == urls
+
+
 def test_archives_edge_rows(spark, tmp_path):
     big = "<p>" + "é" * 3_000_000
     rows = [
