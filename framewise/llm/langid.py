@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -15,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import fresh, held_out, table
-from framewise.llm.tokens import slices
+from framewise.llm.common import fresh, held_out, release, table
+from framewise.llm.tokens import encoder, slices
 
 UNDETERMINED = "und"
 START = "▁"
-WORD_CUT = 32  # longer words are scored in parts, so that no probability underflows
+LONG = 32  # longer words are scored one by one with logarithms, as their probabilities underflow
 UNKNOWN = 1e-8  # of one character outside the vocabulary
 SHARE = 0.01  # of all pieces' probability, spread evenly
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -101,21 +102,56 @@ def forward(group: Group, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def piece_table(word: str, vocab: Pieces) -> np.ndarray:
+    """The piece at each start and length of a long word (with the start sign in front), -1 for none."""
+    codes = np.frombuffer((START + word).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    size = len(codes)
+    h, table_ = np.zeros(size, np.uint64), np.full((size, min(vocab.longest, size)), -1, np.int32)
+    for k in range(table_.shape[1]):
+        h = h[: size - k] * BASE + codes[k:]
+        table_[: size - k, k] = vocab.find(h)
+    table_[table_[:, 0] < 0, 0] = vocab.size
+    return table_
+
+
+def forward_log(table_: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """``forward`` of one long word, as logarithms: positions by languages."""
+    alpha = np.full((len(table_) + 1, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    for start, row in enumerate(table_):
+        k = np.flatnonzero(row >= 0)
+        alpha[start + 1 + k] = np.logaddexp(alpha[start + 1 + k], alpha[start] + logs[row[k]])
+    return alpha
+
+
+def backward_log(table_: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of the rest of one long word from each position on."""
+    beta = np.zeros((len(table_) + 1, logs.shape[1]))
+    for start in range(len(table_) - 1, -1, -1):
+        k = np.flatnonzero(table_[start] >= 0)
+        beta[start] = np.logaddexp.reduce(beta[start + 1 + k] + logs[table_[start, k]], axis=0)
+    return beta
+
+
 def word_scores(words: list[str], vocab: Pieces, probs: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language, a row a word."""
     out = np.zeros((len(words), probs.shape[1]))
-    parts = [(i, w[at : at + WORD_CUT]) for i, w in enumerate(words) for at in range(0, len(w), WORD_CUT)]
-    owner = np.array([i for i, _ in parts], np.int64)
-    for group in occurrences([w for _, w in parts], vocab):
-        np.add.at(out, owner[group.rows], np.log(forward(group, probs)[group.length]))
+    short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+    for group in occurrences([words[i] for i in short], vocab):
+        out[short[group.rows]] = np.log(forward(group, probs)[group.length])
+    logs = np.log(probs)
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out[i] = forward_log(piece_table(w, vocab), logs)[-1]
     return out
 
 
 def train(words: list[str], counts: np.ndarray, vocab: Pieces, rounds: int) -> np.ndarray:
     """Piece probabilities of one language by expectation maximisation over all segmentations."""
-    cut = [(w[at : at + WORD_CUT], n) for w, n in zip(words, counts.tolist()) for at in range(0, len(w), WORD_CUT)]
-    weights = np.array([n for _, n in cut], np.float64)
-    groups = occurrences([w for w, _ in cut], vocab)
+    short = [(w, n) for w, n in zip(words, counts.tolist()) if len(w) <= LONG]
+    long = [(w, n) for w, n in zip(words, counts.tolist()) if len(w) > LONG]
+    weights = np.array([n for _, n in short], np.float64)
+    groups = occurrences([w for w, _ in short], vocab)
     probs = np.full(vocab.size + 1, 1 / vocab.size)
     probs[-1] = UNKNOWN
     for _ in range(rounds):
@@ -128,6 +164,13 @@ def train(words: list[str], counts: np.ndarray, vocab: Pieces, rounds: int) -> n
                 passed = beta[end, some] * probs[piece]
                 beta[start, some] += passed
                 np.add.at(expected, piece, alpha[start, some] * passed)
+        logs = np.log(probs)[:, None]
+        for word, n in long:
+            table_ = piece_table(word, vocab)
+            alpha, beta = forward_log(table_, logs)[:, 0], backward_log(table_, logs)[:, 0]
+            start, k = np.nonzero(table_ >= 0)
+            piece = table_[start, k]
+            np.add.at(expected, piece, n * np.exp(alpha[start] + logs[piece, 0] + beta[start + 1 + k] - alpha[-1]))
         expected[-1] = 0
         probs[:-1] = (1 - SHARE) * expected[:-1] / max(expected.sum(), 1e-9) + SHARE / vocab.size
     return probs
@@ -175,34 +218,51 @@ def trainer(path: str, rounds: int):
     return run
 
 
-def learn_languages(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample: int = 1000, rounds: int = 5,
-) -> Model:
-    """Fit piece probabilities per language on a bounded sample of labelled documents.
+def labelled_sample(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1000
+) -> DataFrame:
+    """``lang, text`` of about ``sample`` labelled documents a language, whatever the corpus.
 
-    Of a language's documents, those stay whose id's hash falls below ``sample`` in their number,
-    so about ``sample`` documents a language whatever the corpus; their words are counted in Spark
-    and each language is fitted by a task of its own.  Rows without id, text or language are left out.
+    Of a language's documents, those stay whose id's hash falls below ``sample`` in their number.
+    Rows without id, text or language are left out.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row a language
     if not sizes:
-        return Model(path, [], np.zeros((0, 0)))
+        return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(0)
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    chosen = rows.where(place <= share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return rows.where(place <= share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+
+def learn_languages(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample: int = 1000, rounds: int = 5,
+) -> Model:
+    """Fit piece probabilities per language on a bounded sample of labelled documents."""
+    return fit_languages(labelled_sample(docs, id_col, text_col, lang_col, sample), path, rounds)
+
+
+def fit_languages(chosen: DataFrame, path: str, rounds: int = 5) -> Model:
+    """Fit piece probabilities on ``lang, text``: words are counted in Spark, a task fits a language."""
     counts = chosen.mapInArrow(count_words, "lang string, words array<string>, counts array<long>")
     fitted = counts.groupBy("lang").applyInArrow(trainer(path, rounds), "lang string, probs array<double>").collect()
     fitted = sorted((r.lang, r.probs) for r in fitted)
+    if not fitted:
+        return Model(path, [], np.zeros((0, 0)))
     return Model(path, [k for k, _ in fitted], np.array([p for _, p in fitted]).T.copy())
 
 
 def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """The likeliest language of each text and its share of the probability of all languages."""
+    return likelihoods(texts, model)[:2]
+
+
+def likelihoods(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``predict``, and the text's log-probability a letter in its language (NaN without letters)."""
     n, langs = len(texts), len(model.langs)
     if not langs:
-        return [UNDETERMINED] * n, np.zeros(n)
+        return [UNDETERMINED] * n, np.zeros(n), np.full(n, np.nan)
     words, owner = split_words(texts)
     scores = word_scores(words.dictionary.to_pylist(), pieces(model.path), model.probs)
     index = words.indices.to_numpy()
@@ -210,7 +270,9 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     shares = np.exp(logs - logs.max(1, keepdims=True))
     shares /= shares.sum(1, keepdims=True)
     best, some = shares.argmax(1), np.bincount(owner, minlength=n) > 0
-    return [model.langs[b] if s else UNDETERMINED for b, s in zip(best, some)], np.where(some, shares.max(1), 0.0)
+    letters = np.bincount(owner, pc.utf8_length(words.dictionary).to_numpy()[index], n)
+    fit = np.divide(logs.max(1), letters, out=np.full(n, np.nan), where=letters > 0)
+    return [model.langs[b] if s else UNDETERMINED for b, s in zip(best, some)], np.where(some, shares.max(1), 0.0), fit
 
 
 def predictor(model: Model, text: int, carried: list[int], names: list[str]):
@@ -232,7 +294,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     name.  Only the text is read.
 
     Defined cases: a text that is NULL, empty or has no letter, and every text under a model
-    without languages, is ``und`` with score 0.  Words over 32 characters are scored in parts.
+    without languages, is ``und`` with score 0.
     """
     carry = docs.columns if carry is None else carry
     names = [*carry, *fresh(docs.select(carry), "lang_pred", "score")]
@@ -245,6 +307,36 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     return source.mapInArrow(predictor(model, at(text_col), [at(c) for c in carry], names), schema)
 
 
+def judge(model: Model):
+    """A column function: text to ``lang``, ``score`` and ``fit`` (log-probability a letter in ``lang``).
+
+    Only the text goes to Python and only these three values come back.
+    """
+
+    @F.arrow_udf("struct<lang:string,score:double,fit:double>")
+    def run(texts: pa.Array) -> pa.Array:
+        release(encoder)
+        found = [likelihoods(some.column(0), model) for some in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0, 1 << 20)]
+        langs, scores, fits = (list(chain.from_iterable(x)) for x in zip(*found)) if found else ([], [], [])
+        release()
+        return pa.StructArray.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], ["lang", "score", "fit"]
+        )
+
+    return run
+
+
+def usual_fit(chosen: DataFrame, model: Model, at: float = 0.01) -> dict[str, float]:
+    """Of each language, the log-probability a letter that all but ``at`` of its documents reach.
+
+    ``chosen`` has ``lang, text`` of labelled documents; the result has a row a language.
+    """
+    rows = chosen.select(F.col("lang").alias("label"), judge(model)(F.col("text")).alias("j")).where(
+        (F.col("label") == F.col("j.lang")) & ~F.isnan("j.fit")
+    )
+    return {r[0]: r[1] for r in rows.groupBy("label").agg(F.percentile_approx("j.fit", at, 1000)).collect()}
+
+
 def op8_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = held_out(F.col("doc_id"), 3, 1)
