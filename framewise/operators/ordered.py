@@ -25,7 +25,7 @@ def _plain(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.TimestampType):
         return F.unix_micros(name)
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
+        return F.col(name).cast("string")  # a time zone's clock changes would break the order
     return F.col(f"`{name}`")
 
 

@@ -161,7 +161,7 @@ def test_clustered_values_spread_over_slices(spark):
     assert (out[None]["q"], out[None]["n"]) == (1.0, 1)
 
 
-@pytest.mark.parametrize("order", [["s"], ["d", "s"], ["f", "s"], ["t", "f"]])
+@pytest.mark.parametrize("order", [["s"], ["d", "s"], ["f", "s"], ["t", "f"], ["z", "s"]])
 def test_cuts_follow_the_order_of_any_type(spark, order):
     rng = random.Random(2)
     rows = [
@@ -170,6 +170,7 @@ def test_cuts_follow_the_order_of_any_type(spark, order):
         for _ in range(2000)
     ]
     df = spark.createDataFrame(rows, "s string, d date, f double, t timestamp")
+    df = df.withColumn("z", F.col("t").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, cast(hash(s) % 100000 as decimal(18, 6)) / 1000)"))
     cut = ordered.slice_of(df, [], order, slices=8)
     w = Window.orderBy(*order)
     steps = df.withColumn("n", cut).withColumn("before", F.lag("n").over(w))
