@@ -184,13 +184,13 @@ class Plan:
 # ------------------------------------------------------------------ the corpus
 
 
-def tokenize(path: str, end_id: int):
+def tokenize(path: str, end_id: int, slice_bytes: int = 1 << 23):
     """Rows (id, text) to numbered rows with ids as little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, slice_bytes):
                 width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
                 ids = [np.append(x, end_id) for x in encoder(path).encode(some.column(1))]
                 rows = np.arange(row, row + len(some))
@@ -245,6 +245,7 @@ def pack(
     text_col: str = "text",
     then=None,
     schema: str = PIECES,
+    slice_bytes: int = 1 << 23,
 ) -> DataFrame:
     """Pack the ids of all documents, each ended by ``end_id``, into sequences of ``window`` ids.
 
@@ -254,7 +255,7 @@ def pack(
     length across parts), and the number finds the item's places in the plan.  Returns a row a
     piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``; all sequences but the
     last are full.  ``then`` maps these batches further inside the same task; ``schema`` is that of
-    its result.
+    its result.  A task encodes about ``slice_bytes`` of text at a time.
 
     Defined cases: NULL text is empty and still gives its end id; rows without id and rows that
     repeat an id are packed like others; an empty table gives no piece.
@@ -263,7 +264,7 @@ def pack(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stored = "part long, row long, doc_id long, n long, ids binary"
     path = shared_path(spark, "ids")
-    rows.mapInArrow(tokenize(tokenizer, end_id), stored).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(tokenize(tokenizer, end_id, slice_bytes), stored).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(stored).parquet(path)
     sizes = tokens.select(
         "part", "row", (F.col("n") % window).alias("rest"), F.floor(F.col("n") / window).alias("whole")
