@@ -17,6 +17,7 @@ from framewise.sources.bindings import (
     EVENTS_DOMAIN,
     ORDERS_DOMAIN,
     obs_events,
+    line_tasks,
     obs_orders,
 )
 
@@ -68,7 +69,7 @@ RANK_OUT = "n1, n2, round(w, 6) AS w, round(z, 6) AS z, round(p, 6) AS p_value F
 
 
 def _daily(s, d):
-    return report.items_per_subject(obs_orders(s, d))
+    return report.items_per_subject(obs_orders(s, d), line_tasks(s, d))
 
 
 def _shares(s, d):

@@ -11,6 +11,7 @@ from framewise.sources.bindings import (
     event_hours,
     event_people,
     obs_events,
+    line_tasks,
     obs_orders,
     table,
 )
@@ -153,7 +154,7 @@ QUERIES = {
     ),
     "item_transition_rate_orders": query(
         lambda s, d: rates.transition_rate(
-            obs_orders(s, d).withColumn("hour", F.lit(0).cast("long")), "item"
+            obs_orders(s, d).withColumn("hour", F.lit(0).cast("long")), "item", tasks=line_tasks(s, d)
         ),
         _transition_sql(OBS_ORDERS, "item", False, "CAST(0 AS BIGINT) AS hour"),
     ),

@@ -134,7 +134,7 @@ FROM (SELECT subject, age, count(*) AS n FROM fact GROUP BY ALL)""",
 FROM (SELECT site, subject, age, count(DISTINCT frame) AS n FROM fact GROUP BY ALL) GROUP BY site""",
     ),
     "daily_items": query(
-        lambda s, d: report.daily_items(b.obs_orders(s, d)),
+        lambda s, d: report.daily_items(b.obs_orders(s, d), b.line_tasks(s, d)),
         with_ctes(OBS_ORDERS, DAILY) + """SELECT coalesce(site, 'All') AS site, round(avg(n), 9) AS mean,
   CAST(median(n) AS DOUBLE) AS median, round(stddev_samp(n), 9) AS sd, min(n) AS min, max(n) AS max
 FROM per GROUP BY ROLLUP (site)""",

@@ -10,6 +10,7 @@ from framewise.functions.nulls import share
 from framewise.operators.joins import members, natural_full_join, null_safe_join
 from framewise.operators.ordered import neighbours
 from framewise.operators.reshape import counts_over_levels, one_hot
+from framewise.operators.tasks import dealt
 
 SUBJECT = ["site", "subject"]
 SUBJECT_HOUR = ["site", "subject", "age", "hour"]
@@ -45,14 +46,16 @@ def category_panel(values: DataFrame, site: str | None = None) -> DataFrame:
 
 
 def transition_rate(
-    view: DataFrame, column: str = "item", keep_zero: bool = False, slice_by: str | None = None
+    view: DataFrame, column: str = "item", keep_zero: bool = False, slice_by: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Changes of the handled ``column`` values between successive frames, per hour.
 
     A frame is described by its values in sorted order, so their order of entry does not
     matter.  The count of changes is divided by the distinct values of that hour.  Frames
     are ordered by time within the subject; the order of a subject with very many frames is cut
-    into slices of about equal row counts, or into calendar units by ``slice_by``.
+    into slices of about equal row counts, or into calendar units by ``slice_by``.  With ``tasks`` frames
+    and values are dealt over so many.
     """
     # A set of (value, item) pairs: repeated records count once, the list is no longer than
     # the vocabulary, and two items of one category still show as two entries.
@@ -61,7 +64,7 @@ def transition_rate(
         F.min("ts").alias("ts"), F.array_join(pairs.getField("v"), ", ").alias("held")
     )
     unit = None if slice_by is None else F.date_trunc(slice_by, "ts")
-    steps = neighbours(frames, ["subject"], ["ts", "frame"], ["held"], unit, view)
+    steps = neighbours(frames, ["subject"], ["ts", "frame"], ["held"], unit, view, tasks)
     changed = (F.col("held") != F.col("prev_held")).cast("long")
     moves = (
         steps.withColumn("hour", F.hour("ts").cast("long"))
@@ -69,7 +72,8 @@ def transition_rate(
         .agg(F.coalesce(F.sum(changed), F.lit(0)).alias("n_transitions"))
     )
     wide = ["site", "subject", "age", "hour"] if column == "item" else ["subject", "hour"]
-    variety = per_hour(view, column, wide).withColumnRenamed("y", "n_values")
+    values = dealt(view.select(*dict.fromkeys([*wide, column])), list(dict.fromkeys([*wide, column])), tasks)
+    variety = per_hour(values, column, wide).withColumnRenamed("y", "n_values")
     rates = null_safe_join(moves, variety, wide, "left").withColumn(
         "y", share(F.col("n_transitions"), F.col("n_values"))
     )

@@ -10,6 +10,7 @@ from framewise.functions.nulls import share
 from framewise.operators.joins import heavy_groups, null_safe_join, spread_join
 from framewise.operators.ordered import quantiles
 from framewise.operators.reshape import widen
+from framewise.operators.tasks import dealt
 from framewise.plans.rates import category_share
 
 SUBJECT = ["site", "subject"]
@@ -93,14 +94,15 @@ def demographics(fact: DataFrame) -> DataFrame:
     )
 
 
-def items_per_subject(view: DataFrame) -> DataFrame:
-    """Distinct items per subject."""
-    return view.groupBy(*SUBJECT).agg(F.count_distinct("item").alias("n_items"))
+def items_per_subject(view: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Distinct items per subject; with ``tasks`` rows are dealt over so many by subject and item."""
+    rows = dealt(view.select(*SUBJECT, "item"), [*SUBJECT, "item"], tasks)
+    return rows.groupBy(*SUBJECT).agg(F.count_distinct("item").alias("n_items"))
 
 
-def daily_items(view: DataFrame) -> DataFrame:
+def daily_items(view: DataFrame, tasks: int | None = None) -> DataFrame:
     """Mean, median, sd and range of distinct items per subject, per site and overall."""
-    per_subject = items_per_subject(view)
+    per_subject = items_per_subject(view, tasks)
     stats = per_subject.rollup("site").agg(
         F.avg("n_items").alias("mean"),
         F.median("n_items").alias("median"),

@@ -204,3 +204,14 @@ def test_rank_ties_follow_the_last_key(make, values):
         ("x", "a", 1), ("x", "b", 2), ("x", "c", 3), ("y", "z", 1),
     ]
     assert values(ordered.rank_rows(df, ["g"], order, top=1), "item") == [("a",), ("z",)]
+
+
+def test_tasks_follow_the_rows_and_are_kept(spark, make):
+    from framewise.operators.tasks import ROWS, dealt, tasks_for
+
+    assert tasks_for(spark, 0) == spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 1000 * ROWS + 1) == 1001
+    rows = make("k int, v int", (1, 1), (1, 1), (2, 3))
+    assert dealt(rows, ["k"], None) is rows
+    spread = dealt(rows, ["k"], 37).groupBy("k", "v").count()
+    assert spread.rdd.getNumPartitions() == 37

@@ -97,3 +97,13 @@ def test_uncommon_and_shared(view, values):
     out = rank.shared_items(fact.unionByName(extra), DOMAIN.sites).first()
     assert (out["n_shared"], out["n_items"]) == (3, 6)
     assert values(rank.shared_top_items(reach, 2, DOMAIN.sites)) == [("ball",), ("camera",)]
+
+
+def test_dealt_rows_give_the_same_ranks(spark, make, values):
+    view = make(
+        "site string, subject int, age int, item string, category string, frame int",
+        ("A", 1, 3, "x", "c", 1), ("A", 1, 3, "x", "c", 2), ("A", 1, 3, "y", "d", 1), ("B", 2, 4, "y", "d", 5),
+    )
+    whole, spread = rank.item_distribution(view), rank.item_distribution(view, tasks=37)
+    assert values(spread) == values(whole)
+    assert spread.rdd.getNumPartitions() == 37 and whole.rdd.getNumPartitions() < 37
