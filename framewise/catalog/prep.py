@@ -158,7 +158,7 @@ def none_overlay(s, d):
 
 
 def overlaid(s, d):
-    return prep.fold_overlays(raw(s, d), overlays(s, d))
+    return prep.fold_overlays(raw(s, d), overlays(s, d), b.line_tasks(s, d))
 
 
 def dropped(s, d):
@@ -174,7 +174,7 @@ def overlays(s, d):
 def fact(s, d):
     return prep.prepare(
         b.records(s, d), overlays(s, d), b.labels(s, d), b.corrections(s, d), PATTERN, RULES,
-        b.categories(s, d), b.people(s, d), b.timestamps(s, d), dropped(s, d),
+        b.categories(s, d), b.people(s, d), b.timestamps(s, d), dropped(s, d), tasks=b.line_tasks(s, d),
     )
 
 
@@ -239,18 +239,18 @@ def _fact_from_files(s, d):
     t = _read_sources(s, path)
     return prep.prepare(
         t["records"], overlays(s, d), t["labels"], t["corrections"], PATTERN, RULES,
-        t["categories"], t["people"], t["timestamps"], dropped(s, d),
+        t["categories"], t["people"], t["timestamps"], dropped(s, d), tasks=b.line_tasks(s, d),
     )
 
 
 def _resumed_fact(s, d):
     """The clean fact of a second run, which finds its first two stages stored."""
-    store = StageStore(s, files.scratch_folder(s, "stages"))
+    store, tasks = StageStore(s, files.scratch_folder(s, "stages")), b.line_tasks(s, d)
 
     def run():
         folded = store.stage("overlaid", lambda: overlaid(s, d), params=SEED)
         named = store.stage(
-            "named", lambda df: prep.regularise_labels(prep.split_items(df), b.labels(s, d)), [folded], SEED
+            "named", lambda df: prep.regularise_labels(prep.split_items(df, tasks=tasks), b.labels(s, d), tasks=tasks), [folded], SEED
         )
         return folded, named
 
@@ -258,10 +258,10 @@ def _resumed_fact(s, d):
     folded, named = run()
     if folded.computed or named.computed:
         raise AssertionError("a stored stage was computed again")
-    rows = prep.apply_corrections(named.table, b.corrections(s, d))
+    rows = prep.apply_corrections(named.table, b.corrections(s, d), tasks=tasks)
     rows = prep.relabel_by_frame(rows, b.records(s, d), PATTERN, RULES)
-    rows = prep.resolve_reasons(prep.assign_category(rows, b.categories(s, d)))
-    return prep.clean_fact(rows, b.people(s, d), b.timestamps(s, d), dropped(s, d))
+    rows = prep.resolve_reasons(prep.assign_category(rows, b.categories(s, d), tasks=tasks))
+    return prep.clean_fact(rows, b.people(s, d), b.timestamps(s, d), dropped(s, d), tasks)
 
 
 FACT_SQL = """SELECT DISTINCT site, b.subject, age, sex, wearer, b.frame, reason,
@@ -322,7 +322,7 @@ SELECT DISTINCT item FROM items i WHERE NOT EXISTS (
     ),
     "worklist_categories": query(
         lambda s, d: prep.worklist(
-            prep.regularise_labels(_records_as_items(s, d), b.labels(s, d)).where("reason is null").select("item").distinct(),
+            prep.regularise_labels(_records_as_items(s, d), b.labels(s, d), tasks=b.line_tasks(s, d)).where("reason is null").select("item").distinct(),
             b.categories(s, d), ["item"], F.lit(True),
         ),
         with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw"), labels_sql("named", "items")) + """
@@ -347,12 +347,12 @@ UNION ALL SELECT 'checked again', 0, 0""",
         with_ctes(RECORDS, RAW, split_sql("items", "raw")) + RECORD_SQL + "items",
     ),
     "regularise_labels": query(
-        lambda s, d: prep.regularise_labels(_records_as_items(s, d), b.labels(s, d)),
+        lambda s, d: prep.regularise_labels(_records_as_items(s, d), b.labels(s, d), tasks=b.line_tasks(s, d)),
         with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw"), labels_sql("named", "items"))
         + RECORD_SQL + "named",
     ),
     "apply_corrections": query(
-        lambda s, d: prep.apply_corrections(_records_as_items(s, d), b.corrections(s, d)),
+        lambda s, d: prep.apply_corrections(_records_as_items(s, d), b.corrections(s, d), tasks=b.line_tasks(s, d)),
         with_ctes(
             RECORDS, RAW, OVERLAYS, split_sql("items", "raw"),
             overlay_sql("corrected", "items", "o_corrections"), split_sql("step", "corrected"),
@@ -360,13 +360,13 @@ UNION ALL SELECT 'checked again', 0, 0""",
         + RECORD_SQL + "step",
     ),
     "relabel_by_frame": query(
-        lambda s, d: prep.relabel_by_frame(_records_as_items(s, d), b.records(s, d), PATTERN, RULES),
+        lambda s, d: prep.relabel_by_frame(_records_as_items(s, d), b.records(s, d), PATTERN, RULES, tasks=b.line_tasks(s, d)),
         with_ctes(RECORDS, RAW, split_sql("items", "raw"), relabel_sql("step", "items"))
         + RECORD_SQL + "step",
     ),
     "relabel_by_frame_matching": query(
         lambda s, d: prep.relabel_by_frame(
-            _records_as_items(s, d), b.records(s, d), PATTERN, RULES, only_matching=True
+            _records_as_items(s, d), b.records(s, d), PATTERN, RULES, only_matching=True, tasks=b.line_tasks(s, d)
         ),
         with_ctes(RECORDS, RAW, split_sql("items", "raw"), relabel_sql("step", "items")) + """
 SELECT i.subject, i.frame, CASE WHEN i.item LIKE '%ring%' THEN s.item ELSE i.item END AS item, i.reason
@@ -381,7 +381,7 @@ UNION ALL SELECT * FROM items i WHERE (subject, frame) NOT IN (
         + "SELECT count(*) AS n_conflicts FROM records WHERE item LIKE '%ring%' AND tool_meal AND tool_work",
     ),
     "assign_category": query(
-        lambda s, d: prep.assign_category(_records_as_items(s, d), b.categories(s, d)),
+        lambda s, d: prep.assign_category(_records_as_items(s, d), b.categories(s, d), tasks=b.line_tasks(s, d)),
         with_ctes(RECORDS, RAW, DICTIONARIES, split_sql("items", "raw"), category_sql("step", "items"))
         + "SELECT subject, frame, reason, category, item FROM step",
     ),

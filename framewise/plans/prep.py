@@ -17,6 +17,7 @@ from framewise.domain import Domain, ordinal
 from framewise.functions.nulls import blank_where_set, if_known
 from framewise.operators.joins import heavy_values, look_up, non_members, outside
 from framewise.operators.reshape import explode_list
+from framewise.operators.tasks import dealt
 
 KEYS = ["subject", "frame"]
 RECORD = [*KEYS, "item", "reason"]
@@ -76,9 +77,9 @@ def overlay_first_flag(df: DataFrame, priority: list[tuple[str, str]]) -> DataFr
     return df.select(*KEYS, F.col("item").alias("new_item"), reason.alias("new_reason"))
 
 
-def colocate(df: DataFrame) -> DataFrame:
-    """Hash the (already distinct) records by frame."""
-    return df.repartition(*KEYS)
+def colocate(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Hash the records by frame, over ``tasks`` partitions that adaptive execution does not join."""
+    return df.repartition(*KEYS) if tasks is None else dealt(df, KEYS, tasks)
 
 
 def apply_overlay(base: DataFrame, overlay: DataFrame, how: str = "left") -> DataFrame:
@@ -121,7 +122,7 @@ def _turns(overlay: DataFrame, turn: int, how: str) -> DataFrame:
     return overlay.select(*KEYS, *new, F.lit(turn).alias("_turn"), F.lit(how == "full").alias("_adds"))
 
 
-def fold_overlays(base: DataFrame, overlays: list[tuple[DataFrame, str]]) -> DataFrame:
+def fold_overlays(base: DataFrame, overlays: list[tuple[DataFrame, str]], tasks: int | None = None) -> DataFrame:
     """Several overlays at once, with the result of ``apply_overlay`` one after the other.
 
     Of a frame's rows those of its last overlay win, or the base's if none lists it; a frame that
@@ -129,7 +130,7 @@ def fold_overlays(base: DataFrame, overlays: list[tuple[DataFrame, str]]) -> Dat
     per frame picks the winners: one shuffle and no join, however many overlays there are.
     """
     frame = Window.partitionBy(*KEYS)
-    rows = _stacked(base, overlays).withColumns(
+    rows = dealt(_stacked(base, overlays), KEYS, tasks).withColumns(
         {"_last": F.max("_turn").over(frame), "_there": F.max("_adds").over(frame)}
     )
     won = rows.where((F.col("_turn") == F.col("_last")) & F.col("_there")).select(*RECORD)
@@ -141,20 +142,24 @@ def worklist(df: DataFrame, checked: DataFrame, keys: list[str], where: Column)
     return non_members(df.where(where), checked, keys)
 
 
-def split_items(df: DataFrame, max_items: int | None = None) -> DataFrame:
-    """One record per listed item; rows with neither item nor reason disappear."""
-    rows = explode_list(df.select(*RECORD), "item", max_items, keep_if=F.col("reason").isNotNull())
+def split_items(df: DataFrame, max_items: int | None = None, tasks: int | None = None) -> DataFrame:
+    """One record per listed item; rows with neither item nor reason disappear.
+
+    With ``tasks``, here and in the steps below, rows are dealt over so many by frame (``colocate``).
+    """
+    rows = explode_list(dealt(df.select(*RECORD), KEYS, tasks), "item", max_items, keep_if=F.col("reason").isNotNull())
     return rows.withColumn("item", blank_where_set(F.col("reason"), F.col("item"))).distinct()
 
 
 def regularise_labels(
-    df: DataFrame, labels: DataFrame, max_items: int | None = None, heavy: list | None = None
+    df: DataFrame, labels: DataFrame, max_items: int | None = None, heavy: list | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Swap raw labels for their dictionary form, which may itself list items.
 
     ``heavy`` names items that many rows share (default: read from a sample of ``df``).
     """
-    return split_items(_renamed(df, labels, heavy), max_items)
+    return split_items(_renamed(df, labels, heavy), max_items, tasks)
 
 
 def _renamed(df: DataFrame, labels: DataFrame, heavy: list | None) -> DataFrame:
@@ -164,10 +169,10 @@ def _renamed(df: DataFrame, labels: DataFrame, heavy: list | None) -> DataFrame:
 
 
 def apply_corrections(
-    df: DataFrame, corrections: DataFrame, max_items: int | None = None
+    df: DataFrame, corrections: DataFrame, max_items: int | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Authoritative overlay whose items may be lists."""
-    return split_items(apply_overlay(df, corrections), max_items)
+    return split_items(apply_overlay(dealt(df, KEYS, tasks), corrections), max_items)
 
 
 def relabel_by_frame(
@@ -176,6 +181,7 @@ def relabel_by_frame(
     pattern: str,
     rules: list[tuple[str, str]],
     only_matching: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Rename the items of frames whose raw text matches and whose flag is set.
 
@@ -193,7 +199,7 @@ def relabel_by_frame(
     item = F
     for flag, name in rules:
         item = item.when(F.col(f"_{flag}") & scope, F.lit(name))
-    renamed = df.join(marks, KEYS, "left").withColumn("item", item.otherwise(F.col("item")))
+    renamed = dealt(df, KEYS, tasks).join(marks, KEYS, "left").withColumn("item", item.otherwise(F.col("item")))
     return renamed.select(*df.columns)
 
 
@@ -203,7 +209,9 @@ def audit_exclusive(records: DataFrame, pattern: str, one: str, other: str) -> D
     return records.where(F.col("item").rlike(pattern)).agg(F.count_if(both).alias("n_conflicts"))
 
 
-def assign_category(df: DataFrame, categories: DataFrame, heavy: list | None = None) -> DataFrame:
+def assign_category(
+    df: DataFrame, categories: DataFrame, heavy: list | None = None, tasks: int | None = None
+) -> DataFrame:
     """Look up the category of each item; excluded rows keep neither.
 
     ``heavy`` names items that many rows share (default: read from a sample of ``df``).
@@ -211,7 +219,7 @@ def assign_category(df: DataFrame, categories: DataFrame, heavy: list | None = N
     heavy = heavy_values(df, "item") if heavy is None else heavy
     found = look_up(df, categories.select("item", "category"), "item", [*KEYS, "reason"], heavy)
     reason = F.col("reason")
-    return found.select(
+    return dealt(found, KEYS, tasks).select(
         *KEYS,
         "reason",
         blank_where_set(reason, F.col("category")).alias("category"),
@@ -244,29 +252,27 @@ def clean_fact(
     participants: DataFrame,
     timestamps: DataFrame,
     dropped: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add subject and time columns, leave out dropped subjects, order the columns.
 
     Times that carry a ``duration`` (``agree.frame_durations``) hand it on as the last column.
+    Repeated rows go before the subject's columns come, so the wider rows are only joined.
     """
     times = [c for c in ("ts", "duration") if c in timestamps.columns]
     if dropped is not None:
         df = non_members(df, dropped, ["subject"])
-    people = participants.select("subject", "site", "age", "sex", "wearer")
-    joined = df.join(timestamps.select(*KEYS, *times), KEYS, "left").join(people, ["subject"], "left")
+    people = participants.select("subject", "site", "age", "sex", "wearer").distinct()
     reason = F.col("reason")
-    return joined.select(
-        "site",
-        "subject",
-        "age",
-        "sex",
-        "wearer",
-        "frame",
+    rows = dealt(df, KEYS, tasks).join(timestamps.select(*KEYS, *times), KEYS, "left").select(
+        *KEYS,
         "reason",
         blank_where_set(reason, F.col("category")).alias("category"),
         blank_where_set(reason, F.col("item")).alias("item"),
         *times,
-    ).distinct()
+    )
+    joined = dealt(rows.distinct(), ["subject"], tasks).join(people, ["subject"], "left")
+    return joined.select("site", "subject", "age", "sex", "wearer", "frame", "reason", "category", "item", *times)
 
 
 def prepare(
@@ -283,6 +289,7 @@ def prepare(
     flags: dict[str, str] = REASON_FLAGS,
     strict: bool = False,
     caps: tuple[int | None, int | None, int | None] = (None, None, None),
+    tasks: int | None = None,
 ) -> DataFrame:
     """The whole chain from raw records to the clean fact, with one shuffle of the records by frame.
 
@@ -293,7 +300,7 @@ def prepare(
     The rows of records and overlays are split and renamed where they are, then stacked with the
     corrections, and one window per frame picks those that stand: of the overlays as in
     ``fold_overlays``, and the corrections where the frame has a row otherwise.  A row that splits
-    to nothing keeps its turn until then.
+    to nothing keeps its turn until then.  With ``tasks`` every step by frame or subject has so many.
     """
     flagged = text_flag(records, "item", EXPERIMENTER_TEXT, "experimenter")
     heavy, renamed = _heavy_items(records, labels, caps[0])
@@ -302,10 +309,10 @@ def prepare(
     rows = _entries(named.withColumn("item", F.when(F.col("_has"), F.col("item"))).drop("_has"), caps[1])
     patch = _entries(_turns(corrections, len(overlays) + 1, "left"), caps[2])
     rows = rows.unionByName(patch)
-    rows = _standing(rows, len(overlays))
+    rows = _standing(dealt(rows, KEYS, tasks), len(overlays))
     rows = resolve_reasons(relabel_by_frame(rows, records, pattern, rules))
-    rows = assign_category(rows, categories, sorted({*heavy, *renamed, *[name for _, name in rules]}))
-    return clean_fact(rows, participants, timestamps, dropped)
+    rows = assign_category(rows, categories, sorted({*heavy, *renamed, *[name for _, name in rules]}), tasks)
+    return clean_fact(rows, participants, timestamps, dropped, tasks)
 
 
 def _entries(df: DataFrame, max_items: int | None) -> DataFrame:

@@ -287,3 +287,24 @@ def test_colocated_records_are_not_shuffled_again(spark, make):
     by_all_columns = [line for line in base_exchanges if "item#" in line]
     assert len(by_all_columns) == 1  # the first distinct
     assert sum("REPARTITION_BY_COL" in line for line in base_exchanges) == 1
+
+
+def test_steps_dealt_by_frame_keep_rows_and_tasks(spark, make, values):
+    records = "subject int, frame int, item string, reason string"
+    rows = make(records, (1, 1, "a, b, a", None), (1, 1, "b", None), (2, 1, None, "Exclude"), (2, 2, "c", None))
+    labels = make("item string, new_item string", ("a", "d, e"), ("c", "f"))
+    kinds = make("item string, category string", ("d", "D"), ("b", "B"))
+    patch = make("subject int, frame int, new_item string, new_reason string", (2, 2, "g, h", None))
+    people = make("subject int, site string, age int, sex string, wearer int", (1, "A", 3, "f", 0), (1, "A", 3, "f", 0))
+    times = make("subject int, frame int, ts string", (1, 1, "t"))
+
+    def chain(tasks):
+        out = prep.regularise_labels(prep.split_items(rows, tasks=tasks), labels, tasks=tasks)
+        out = prep.apply_corrections(out, patch, tasks=tasks)
+        out = prep.resolve_reasons(prep.assign_category(out, kinds, tasks=tasks))
+        return out, prep.clean_fact(out, people, times, tasks=tasks)
+
+    (named, fact), (named_n, fact_n) = chain(None), chain(37)
+    assert values(named_n) == values(named) and values(fact_n) == values(fact)
+    assert len(values(fact)) == 6 == len(set(values(fact)))
+    assert named_n.rdd.getNumPartitions() == 37
