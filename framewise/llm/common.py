@@ -34,15 +34,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/framewise-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder, compressed by ``codec``, and read it back.
 
     Cuts the lineage with files that outlive a lost executor, and lets Spark split hot keys of a
     later join, which it cannot do right above an aggregation.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,6 +39,15 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set if over half of them have it; none give 0."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        some = hashes[at : at + STEP].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def printer(text: int, carried: list[int], shingle: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40

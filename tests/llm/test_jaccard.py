@@ -65,3 +65,29 @@ def test_blocks_and_large_cells_keep_all_pairs(spark):
     want = plain_groups(texts)
     got = {r.doc_id: r.component_id for r in jaccard_groups(docs, carry=["doc_id"], block_rows=16).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_fingerprints_link_what_the_similarity_leaves(make, spark):
+    """A pair under the similarity whose SimHash fingerprints are near is linked with a radius only."""
+    from framewise.llm.simhash import fingerprint
+
+    body = ["w1", "w2", "w3"] * 400  # three shingles, so no bit is near half of the hashes
+    one, other = " ".join(body), " ".join(body + [f"z{i}" for i in range(60)])
+    apart = " ".join(f"q{i}" for i in range(300))
+    a, b = (fingerprint(t.encode(), 5) for t in (one, other))
+    assert (a ^ b).bit_count() <= 3
+    docs = make("doc_id long, text string", (1, one), (2, other), (3, apart), (4, None))
+
+    def groups(**how):
+        return {r["doc_id"]: r["component_id"] for r in jaccard_groups(docs, **how).collect()}
+
+    assert groups() == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert groups(radius=3) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_fingerprints_of_hashes_are_those_of_the_operator():
+    from framewise.llm.jaccard import shingle_hashes
+    from framewise.llm.simhash import fingerprint, majority
+
+    for text in (b"", b"one", b"a b c a b c a b c d e f", b" ".join(b"w%d" % (i % 700) for i in range(70_000))):
+        assert majority(shingle_hashes(text, 5)) == fingerprint(text, 5)
