@@ -46,6 +46,20 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """Like ``stored``, in ``parts`` buckets by ``key``: grouping by it then needs no shuffle.
+
+    The table's name is dropped at once; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    title = "spark_catalog.default." + path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(parts, key).option("compression", "zstd").option("path", path).saveAsTable(title, format="parquet")
+    out = spark.table(title)
+    spark.sql(f"drop table {title}")
+    return out
+
+
 def release(*models) -> None:
     """Drop the models that earlier tasks cached in this reused worker and hand free memory back.
 

@@ -131,3 +131,75 @@ def test_edge_rows(spark):
     none = score_texts(docs, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and abs(r.score) < 1e-9 for r in none)
     assert score_texts(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_word_is_a_context_of_its_own(spark):
+    """A chain of 3000 words, each seen once: all seats are certain, so the law is known in closed form."""
+    chain = [f"w{i}" for i in range(3000)]
+    ask = ["", None, "w7 w8", "w8 w7", "w7 never w9", "W2999", " ".join(chain[1000:2000]), " ".join(chain[::-1])]
+    docs = spark.createDataFrame([(i, t, i == 0) for i, t in enumerate([" ".join(chain), *ask])], "doc_id long, text string, learns boolean")
+    tables, d, theta = len(chain) + 1, 0.95, 1.0  # discounts are capped, as every pair is seen once
+    after = dict(zip([None, *chain], [*chain, "\n"]))
+
+    def prob(word, context):
+        base = 0.5 / tables if word in chain or word == "\n" else 0.5
+        known = word in chain or word == "\n"
+        root = ((1 - d) * known + (theta + d * tables) * base) / (theta + tables)
+        seen = context in after
+        return ((1 - d) * (after.get(context) == word) * seen + (theta + d * seen) * root) / (theta + seen)
+
+    for block_bytes in (1 << 25, 1000):
+        got = {r.doc_id: r for r in score_texts(docs, F.col("learns"), block_bytes=block_bytes).collect()}
+        for i, t in enumerate([" ".join(chain), *ask]):
+            words = tokens(t)
+            want = sum(log10(prob(w, c)) for c, w in zip([None, *words], words))
+            assert got[i].score == pytest.approx(want, rel=1e-6), (block_bytes, i)
+            assert (got[i].n_tokens, got[i].n_known) == (len(words), sum(w != "never" for w in words))
+
+
+def test_words_of_one_hash_class_differ_as_contexts(spark):
+    import xxhash
+
+    classes = {}
+    for i in range(10_000):
+        classes.setdefault(xxhash.xxh64_intdigest(f"c{i}") % 511, []).append(f"c{i}")
+    p, q = classes[0][:2]
+    texts = [*[f"{p} x"] * 50, *[f"{q} y"] * 50]
+    docs = spark.createDataFrame([(i, t, i < 100) for i, t in enumerate([*texts, f"{p} x", f"{q} x"])], "doc_id long, text string, learns boolean")
+    got = {r.doc_id: r.score for r in score_texts(docs, F.col("learns")).collect()}
+    assert got[100] - got[101] > 1
+    coarse = {r.doc_id: r.score for r in score_texts(docs, F.col("learns"), contexts=512).collect()}
+    assert abs(coarse[100] - coarse[101]) < 0.1
+    with pytest.raises(ValueError, match="65536"):
+        score_texts(docs, F.col("learns"), contexts=70_000)
+
+
+def test_scores_do_not_depend_on_chunks_and_gain_over_classes(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("learns", F.col("doc_id") % 7 != 2)
+    score = lambda df, **options: {r.doc_id: r.score for r in score_texts(df, F.col("learns"), **options).collect()}
+    whole = score(docs.coalesce(1), block_bytes=1 << 18)
+    parts = score(docs.repartition(3), block_bytes=1 << 18, chunk_bytes=50_000)
+    assert whole.keys() == parts.keys() and all(parts[k] == pytest.approx(v, rel=1e-9) for k, v in whole.items())
+    coarse, held = score(docs, contexts=512), [k for k in whole if k % 7 == 2]
+    assert sum(whole[k] for k in held) > 0.95 * sum(coarse[k] for k in held)
+
+
+def test_tables_follow_the_exact_law_in_small_restaurants():
+    rng = np.random.default_rng(5)
+    d, theta, base, c = 0.8, 0.1, 0.3, 12
+    for others in (0, 3):
+        rising = np.cumprod(theta + d * (others + np.arange(c)))
+        weights = np.exp(log_stirling(d)[c, 1 : c + 1]) * base ** np.arange(1, c + 1) * rising
+        draws = draw_tables(np.full(40_000, c), np.full(40_000, base), np.full(40_000, others), d, theta, log_stirling(d), rng)
+        share = np.bincount(draws, minlength=c + 1)[1:] / len(draws)
+        assert np.allclose(share, weights / weights.sum(), atol=0.01)
+
+
+def test_packed_numbers():
+    import pyarrow as pa
+
+    from framewise.llm.hpylm import pack_numbers, unpack_numbers
+
+    for values in ([], [0], [255, 256, 0], [1 << 40, 3], [5, 5, 9]):
+        assert unpack_numbers(pa.scalar(pack_numbers(np.array(values, np.int64)))).tolist() == values
+    assert unpack_numbers(pa.scalar(pack_numbers(np.array([5, 5, 9]), True)), True).tolist() == [5, 5, 9]
