@@ -157,7 +157,7 @@ def regularise_labels(
 ) -> DataFrame:
     """Swap raw labels for their dictionary form, which may itself list items.
 
-    ``heavy`` names items that many rows share (default: read from a sample of ``df``).
+    ``heavy`` names items that many rows share (default: those of ``df``).
     """
     return split_items(_renamed(df, labels, heavy), max_items, tasks)
 
@@ -214,7 +214,7 @@ def assign_category(
 ) -> DataFrame:
     """Look up the category of each item; excluded rows keep neither.
 
-    ``heavy`` names items that many rows share (default: read from a sample of ``df``).
+    ``heavy`` names items that many rows share (default: those of ``df``).
     """
     heavy = heavy_values(df, "item") if heavy is None else heavy
     found = look_up(df, categories.select("item", "category"), "item", [*KEYS, "reason"], heavy)

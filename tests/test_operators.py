@@ -85,6 +85,36 @@ def test_complete_of_a_hot_group_is_spread(spark, values):
     assert keyed and all("," in k and ("_part" in k or "s#" in k or "item" in k or "groupingexpression" in k) for k in keyed)
 
 
+def test_heavy_groups_are_counted_over_all_rows(spark):
+    """Shares just above and just below the bound, which a sample of rows cannot tell apart."""
+    above, at = 1001, 1000
+    rows = [("above", 1)] * above + [(None, 2)] * above + [("at", 3)] * at + [(f"rare {i}", 4) for i in range(8000 - 2 * above - at)]
+    df = spark.createDataFrame(rows, "a string, `b.c` int")
+    assert set(joins.heavy_groups(df, ["a", "b.c"])) == {("above", 1), (None, 2)} and joins.heavy_values(df, "a") == ["above"]
+    assert joins.heavy_groups(df, ["a"], sample=1001) == [] and set(joins.heavy_groups(df, ["a"], sample=1000)) == {("above",), (None,)}
+    assert joins.heavy_groups(df, []) == [()] and joins.heavy_groups(df.limit(0), []) == []
+
+
+def test_heavy_groups_send_only_themselves_to_the_driver(spark, tmp_path):
+    """Tasks add up their own rows: nothing but the hot keys is collected, and the rows are read once."""
+    spark.range(200_000).selectExpr("if(id % 3 = 0, 'hot', concat('item ', id)) as item").repartition(40).write.parquet(f"{tmp_path}/rows")
+    frame = type(spark.range(1))
+    seen, collect = [], frame.collect
+
+    def collected(self):
+        out = collect(self)
+        seen.append((len(out), self._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    frame.collect = collected
+    try:
+        assert joins.heavy_groups(spark.read.parquet(f"{tmp_path}/rows"), ["item"]) == [("hot",)]
+    finally:
+        frame.collect = collect
+    [(rows, plan)] = seen
+    assert rows == 1 and "TakeOrdered" not in plan and "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
 def test_complete_stays_inside_the_group(make, values):
     df = make("site string, s int, item string, n int", ("A", 1, "x", 4), ("A", 2, "y", 1), ("B", 3, "z", 2))
     out = reshape.complete(df, ["site"], "s", "item", {"n": 0})
