@@ -6,9 +6,10 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewise.llm.langid import START, UNKNOWN, identify, learn_languages, op8_langid, pieces, train, word_scores
+from framewise.llm.langid import START, UNKNOWN, fit_all, identify, labelled_texts, learn_languages, op8_langid, pieces, train, usual_fit, word_scores
 from framewise.llm.line_dedup import dedup_lines
 from test_tokens import check_pieces, reference
 
@@ -106,6 +107,32 @@ def test_language_stage_rejects_other_texts_and_keeps_clean_ones(spark):
     assert min(left) >= 0 and len(left) >= 0.99 * docs.count()
 
 
+def test_fit_in_spark_equals_training_on_all_words(spark):
+    texts = {"aa": ["the cat and the dog", "the öther " + "thereandother" * 4, None], "bb": ["le chat et le chien"] * 3 + [""], "cc": ["12 !"]}
+    rows = [(i, t, g) for g, ts in texts.items() for i, t in enumerate(ts * 5)] + [(None, "the bird", "aa"), (7, "nobody's", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_all(labelled_texts(docs).repartition(3), PATH)
+    assert model.langs == ["aa", "bb", "cc"]
+    for k, lang in enumerate(model.langs):
+        words = [w for _, t, g in rows if g == lang and t for w in re.findall(r"[^\W\d_]+", t)]
+        names = sorted(set(words))
+        want = train(names, np.array([words.count(w) for w in names], np.int64), pieces(PATH), 5)
+        assert np.allclose(model.probs[:, k], want, rtol=1e-9, atol=0)
+    nothing = fit_all(labelled_texts(docs.limit(0)), PATH)
+    assert nothing.langs == [] and usual_fit(labelled_texts(docs), nothing) == {}
+
+
+def test_language_stage_learns_from_and_measures_on_all_documents(spark):
+    """A quarter of a language's documents, none of which a sample of 1000 ids by their hash takes, has words of its own."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    text = F.when(place > 0.8, "zqxv wkjq vbnzk qrrt").otherwise("the cat sat on the mat")
+    docs = spark.range(4500).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.lit("aa").alias("lang"))
+    rare = docs.where("text like 'z%'")
+    assert 600 < rare.count() and corpus_pipeline.known_language(spark, docs, FOLDER).count() == 4500
+    model = fit_all(labelled_texts(docs.where("text not like 'z%'")), PATH)
+    assert usual_fit(labelled_texts(docs), model)["aa"] < usual_fit(labelled_texts(docs.where("text not like 'z%'")), model)["aa"] - 1
+
+
 def test_pipeline_equals_brute_force(spark):
     table = spark.read.parquet(f"{FOLDER}/documents.parquet")
     known = {r.doc_id for r in corpus_pipeline.known_language(spark, table, FOLDER).collect()}
