@@ -39,6 +39,8 @@ class Pieces:
         hashes = np.array([self.hash_of(t) for t in texts], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes, self.size = hashes[self.order], len(texts)
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[self.mark_of(hashes)] = True
 
     @staticmethod
     def hash_of(text: str) -> int:
@@ -47,10 +49,18 @@ class Pieces:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    @staticmethod
+    def mark_of(hashes: np.ndarray) -> np.ndarray:
+        """20 bits that depend on all bits of a hash."""
+        return (hashes * BASE) >> np.uint64(44)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these hashes, -1 for none."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+        """Numbers of the pieces with these hashes, -1 for none; few but pieces are marked, and only those are looked for."""
+        out = np.full(len(hashes), -1, self.order.dtype)
+        some = np.flatnonzero(self.marked[self.mark_of(hashes)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[some]), self.size - 1)
+        out[some] = np.where(self.hashes[at] == hashes[some], self.order[at], -1)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -281,13 +291,25 @@ def fit_languages(chosen: DataFrame, path: str, rounds: int = 5) -> Model:
     return Model(path, [k for k, _ in fitted], np.array([p for _, p in fitted]).T.copy())
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``rows`` rows, but for the last: many short words are gone over faster at once."""
+    kept, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            kept.append(batch)
+            size += len(batch)
+        if size >= rows or batch is None:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches() if size else []
+            kept, size = [], 0
+
+
 def expecter(path: str, probs: dict[str, np.ndarray]):
     """Rows (lang, word, n) to one row a language and piece with how often the task's words expect it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(encoder)
         vocab, sums = pieces(path), {}
-        for batch in batches:
+        for batch in joined(batches):
             langs = batch.column(0)
             for lang in pc.unique(langs).to_pylist():
                 some = batch.filter(pc.equal(langs, lang))
