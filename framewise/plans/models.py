@@ -287,6 +287,22 @@ class _Profile:
         return theta if self.deviance(theta) < self.deviance(0.0) else 0.0
 
 
+def _best_theta(parts: dict) -> float:
+    """The variance ratio of one family from plain sums, not centred.
+
+    ``xx, xy, yy`` are products summed over rows; ``sxx, sxy, syy`` are products of the subjects'
+    sums, added up over the ``count`` subjects of each ``size``.
+    """
+
+    def products(xx: np.ndarray, xy: np.ndarray, yy: float) -> np.ndarray:
+        return np.block([[xx, xy[:, None]], [xy[None, :], np.array([[yy]])]])
+
+    size = parts["size"]
+    between = np.array([products(*p) for p in zip(parts["sxx"], parts["sxy"], parts["syy"])]) / (size**2)[:, None, None]
+    within = products(parts["xx"], parts["xy"], parts["yy"]) - np.tensordot(size, between, 1)
+    return _Profile(size, parts["count"], within, between).best()
+
+
 def random_intercept_fit(
     df: DataFrame, y: str, terms: dict[str, Column], family: str, subject: str = "subject"
 ) -> DataFrame:
